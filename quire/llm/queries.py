@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cdc, covertree, linededup, mixture, piecefst, spotsigs, tokencount, toxicity, warc
+from . import cdc, covertree, ensemble, linededup, mixture, piecefst, spotsigs, tokencount, toxicity, warc
 from .common import table
 
 
@@ -52,10 +52,14 @@ def op6_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op7_containment_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ensemble.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_spotsigs, op3_piece_transducer, op4_toxicity_mil, op5_content_chunks, op6_dual_tree, op8_line_dedup, op9_token_counts, op10_entropy_mixture)}
+QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_spotsigs, op3_piece_transducer, op4_toxicity_mil, op5_content_chunks, op6_dual_tree, op7_containment_ensemble, op8_line_dedup, op9_token_counts, op10_entropy_mixture)}
 SQL: dict[str, str] = {}
