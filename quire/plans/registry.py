@@ -29,5 +29,5 @@ def sql_case(rules: Rules, otherwise: str | None = None, **names: str) -> str:
     text = "CASE " + " ".join(f"WHEN {c} THEN '{r}'" for r, c in rules) + f" ELSE {end} END"
     text = re.sub(r"\brx\((\w+), ", r"regexp_matches(\1, ", text)
     for k, v in names.items():
-        text = re.sub(rf"(?<![\w'\\])\b{k}\b(?= (?:LIKE|IN|=|AND|OR|THEN)|, ')", v, text)
+        text = re.sub(rf"(?<![\w'\\])\b{k}\b(?= (?:LIKE|IN|=|AND|OR|THEN)|, ')", lambda _, v=v: v, text)
     return text
