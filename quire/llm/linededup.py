@@ -13,10 +13,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, ASCII_UPPER, cut, hash128
+from .common import ASCII_SPACE, cut
 
 SHARDS = 64
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -102,24 +102,39 @@ class CuckooFilter:
             size = max(2 * size, 4)
 
 
-def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(ASCII_SPACE)), ASCII_UPPER, ASCII_UPPER.lower())
+def marks(text: str | None, min_chars: int = MIN_CHARS) -> tuple[int, list[int], np.ndarray]:
+    """Number of lines, positions of the lines long enough to count, and the
+    128-bit hashes of their keys as two columns."""
+    import xxhash
 
-
-def marked(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with `lines` and, for lines long enough, key hashes in `marks`."""
-    def mark(line: Column) -> Column:
-        a, b = hash128(line)
-        return F.struct(a.alias("a"), b.alias("b"))
-
-    keys = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), line_key)
-    return docs.withColumn("marks", F.transform(keys, lambda k: F.when(F.char_length(k) >= min_chars, mark(k))))
+    lines, at, raw = (text or "").split("\n"), [], []
+    digest = xxhash.xxh3_128_digest
+    for i, line in enumerate(lines):
+        if len(line) >= min_chars:
+            line = line.strip(ASCII_SPACE)
+            if len(line) >= min_chars:
+                at.append(i)
+                raw.append(digest(line.encode().lower()))  # bytes.lower() knows A-Z alone
+    return len(lines), at, np.frombuffer(b"".join(raw), dtype="<i8").reshape(-1, 2)
 
 
 def postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(a, b, doc_id), once a document and key."""
-    marks = F.array_distinct(F.filter("marks", lambda m: m.isNotNull()))
-    return marked(docs.select("doc_id", "text"), min_chars).select("doc_id", F.explode(marks).alias("m")).select("m.a", "m.b", "doc_id")
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            keys, rows = [], []
+            for r, text in enumerate(batch.column(1).to_pylist()):
+                _, _, k = marks(text, min_chars)
+                if len(k):
+                    k = np.unique(k, axis=0) if len(k) > 1 else k
+                    keys.append(k), rows.append(np.full(len(k), r))
+            if keys:
+                k = np.concatenate(keys)
+                yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), batch.column(0).take(pa.array(np.concatenate(rows)))], ["a", "b", "doc_id"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "a long, b long, doc_id long")
 
 
 def reference_counts(posts: DataFrame) -> DataFrame:
@@ -189,46 +204,48 @@ class LineIndex:
         return apply_index(docs, self.counts.filter(F.col("n") >= self.min_docs).select("a", "b", "last"), self.filters, self.min_chars, self.shards)
 
 
-def _hits(spark: SparkSession, filters: DataFrame | None, shards: int):
-    """A column of positions whose key may be repeated."""
-    if filters is None:
-        return F.filter(F.transform("marks", lambda m, i: F.when(m.isNotNull(), i)), lambda i: i.isNotNull())
-    shared = spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in filters.collect()})
-    held: dict[int, CuckooFilter] = {}
+def probed(docs: DataFrame, filters: DataFrame | None, min_chars: int, shards: int) -> DataFrame:
+    """docs with n_lines, k_text (a hash of the text) and `hits`: the lines
+    whose key may be repeated, as structs of position and hashes."""
+    from pyspark.sql.types import StructType
 
-    @F.pandas_udf("array<int>")
-    def probe(a, b):
-        import pandas as pd
+    shared = None if filters is None else docs.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in filters.collect()})
+    made = StructType.fromDDL("n_lines long, k_text long, hits array<struct<i:int,a:bigint,b:bigint>>")
 
-        if not held:
-            held.update({k: CuckooFilter.loads(v) for k, v in shared.value.items()})
-        lens = np.fromiter(map(len, a), dtype=np.int64, count=len(a))
-        if not lens.sum():
-            return pd.Series([np.empty(0, dtype=np.int32)] * len(a))
-        x, y = np.concatenate(a.to_list()).astype(np.int64), np.concatenate(b.to_list()).astype(np.int64)
-        shard, found = (x >> 20) % shards, np.zeros(len(x), dtype=bool)
-        for s in np.unique(shard):
-            if (f := held.get(int(s))) is not None:
-                m = shard == s
-                found[m] = f.contains(x[m], y[m])
-        return pd.Series([np.flatnonzero(v).astype(np.int32) for v in np.split(found, np.cumsum(lens)[:-1])])
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import xxhash
 
-    # Short lines get the key 0, 0; they are taken out again below.
-    part = lambda k: F.transform("marks", lambda m: F.coalesce(m[k], F.lit(0).cast("long")))
-    return F.filter(probe(part("a"), part("b")), lambda i: F.get("marks", i).isNotNull())
+        held = None if shared is None else {k: CuckooFilter.loads(v) for k, v in shared.value.items()}
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            found = [marks(t, min_chars) for t in texts]
+            k = np.concatenate([x[2] for x in found]) if found else np.empty((0, 2), dtype=np.int64)
+            at = np.fromiter((i for x in found for i in x[1]), dtype=np.int32, count=len(k))
+            row = np.repeat(np.arange(len(found)), [len(x[1]) for x in found])
+            keep = np.ones(len(k), dtype=bool)
+            if held is not None:
+                shard, keep = (k[:, 0] >> 20) % shards, np.zeros(len(k), dtype=bool)
+                for s in np.unique(shard):
+                    if (f := held.get(int(s))) is not None:
+                        m = shard == s
+                        keep[m] = f.contains(k[m, 0], k[m, 1])
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(found)))]).astype(np.int32)
+            hits = pa.StructArray.from_arrays([pa.array(at[keep]), pa.array(k[keep, 0]), pa.array(k[keep, 1])], ["i", "a", "b"])
+            extra = [pa.array([x[0] for x in found], pa.int64()), pa.array([xxhash.xxh3_64_intdigest(t or "") - (1 << 63) for t in texts], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), hits)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *made.names])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *made.fields]))
 
 
 def apply_index(docs: DataFrame, repeated: DataFrame, filters: DataFrame | None, min_chars: int = MIN_CHARS, shards: int = SHARDS) -> DataFrame:
     """Every column of docs, with `kept` (the text that stays), `n_lines` and
     `n_dropped`. A repeated line stays only in the document `last`."""
-    spark = docs.sparkSession
     names = docs.columns
-    probed = marked(docs, min_chars).withColumn("hits", _hits(spark, filters, shards))
-    n_lines = F.size("marks").cast("long").alias("n_lines")
-    body = F.coalesce("text", F.lit(""))
-    clean = probed.filter(F.size("hits") == 0).select(*names, body.alias("kept"), n_lines, F.lit(0).cast("long").alias("n_dropped"))
-    dirty = probed.filter(F.size("hits") > 0).withColumns({"k_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "k_text": F.xxhash64(body)})
-    lines = dirty.select("k_id", "k_text", "doc_id", F.explode(F.transform("hits", lambda i: F.struct(i.alias("i"), F.get("marks", i).alias("m")))).alias("h")).select("k_id", "k_text", "doc_id", "h.i", "h.m.a", "h.m.b")
+    seen = probed(docs, filters, min_chars, shards)
+    clean = seen.filter(F.size("hits") == 0).select(*names, F.coalesce("text", F.lit("")).alias("kept"), "n_lines", F.lit(0).cast("long").alias("n_dropped"))
+    keyed = seen.filter(F.size("hits") > 0).withColumn("k_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    lines = keyed.select("k_id", "k_text", "doc_id", F.explode("hits").alias("h")).select("k_id", "k_text", "doc_id", "h.i", "h.a", "h.b")
     gone = F.col("last").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last")))
     drops = lines.join(repeated, ["a", "b"]).filter(gone).groupBy("k_id", "k_text").agg(F.collect_set("i").alias("drops"))
 
@@ -236,17 +253,15 @@ def apply_index(docs: DataFrame, repeated: DataFrame, filters: DataFrame | None,
         import pyarrow as pa
 
         for batch in batches:
-            kept, n_all, n_gone = [], [], []
+            kept, n_gone = [], []
             for text, drop in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                at, all_lines = set(drop or ()), (text or "").split("\n")
-                kept.append("\n".join([x for i, x in enumerate(all_lines) if i not in at]) if at else text or "")
-                n_all.append(len(all_lines)), n_gone.append(len(at))
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.string()), pa.array(n_all, pa.int64()), pa.array(n_gone, pa.int64())], [*batch.schema.names[:-1], "kept", "n_lines", "n_dropped"])
-
-    schema = clean.schema
-    joined = dirty.select(*names, "k_id", "k_text").join(drops, ["k_id", "k_text"], "left").select(*names, "drops")
-    return clean.unionByName(joined.mapInArrow(assemble, schema))
+                at = set(drop or ())
+                kept.append("\n".join([x for i, x in enumerate((text or "").split("\n")) if i not in at]) if at else text or "")
+                n_gone.append(len(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(kept, pa.string()), batch.column(batch.num_columns - 2), pa.array(n_gone, pa.int64())], [*batch.schema.names[:-2], "kept", "n_lines", "n_dropped"])
+
+    joined = keyed.select(*names, "k_id", "k_text", "n_lines").join(drops, ["k_id", "k_text"], "left").select(*names, "n_lines", "drops")
+    return clean.unionByName(joined.mapInArrow(assemble, clean.schema))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int = SHARDS) -> DataFrame:
