@@ -22,6 +22,7 @@ run of it; segments are encoded once each per worker (bounded memory).
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -31,7 +32,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 UNIGRAM, BPE = 1, 2
 UNK_PENALTY = 10.0
-SEGMENTS, PAIRS = 400_000, 400_000
+WORDS, SEGMENTS, PAIRS = 350_000, 200_000, 500_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -141,10 +142,22 @@ class Transducer:
         # Characters of a trie node: which prefixes of pieces exist (P's states).
         self.states = {p[:k]: -1 for p in self.text_ids for k in range(1, len(p) + 1)} | self.text_ids
         # Neighbours within some piece; between any others every text may be cut.
-        self.inner = {p[k : k + 2] for p in self.text_ids for k in range(len(p) - 1)}
+        self.inner = {(p[k], p[k + 1]) for p in self.text_ids for k in range(len(p) - 1)}
+        self.trie: dict = {}
+        for p, x in self.text_ids.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = x
         self.separable = not any(SPACE in p.lstrip(SPACE) for p in self.text_ids)
-        self.allowed: dict[tuple[str, str], bool] = {}
-        self.cache: dict[str, list[int]] = {}
+        self.allowed: dict[int, bool] = {}
+        self.words: dict[str, bytes] = {}  # by word, without the space before it
+        self.old_words: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.surface = [
+            bytes([int(p[3:5], 16)]).decode("utf-8", "surrogateescape") if t == BYTE else "" if t == CONTROL else unk_surface if t == UNKNOWN else p.replace(SPACE, " ") for p, _, t in self.pieces
+        ]
 
     # M, for BPE
     def _merge(self, symbols: list[str]) -> list[str]:
@@ -160,12 +173,12 @@ class Transducer:
                 return symbols
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
 
-    def _adjacent(self, a: str, b: str) -> bool:
-        ok = self.allowed.get((a, b))
-        if ok is None:
-            if len(self.allowed) >= PAIRS:
-                self.allowed.clear()
-            ok = self.allowed[a, b] = self._merge([*a, *b]) == ([a, b] if a else [b])
+    def _adjacent(self, before: int, x: int) -> bool:
+        if len(self.allowed) >= PAIRS:
+            self.allowed.clear()
+        a = "" if before == -1 else chr(-10 - before) if before < 0 else self.pieces[before][0]
+        b = self.pieces[x][0]
+        ok = self.allowed[(before << 20) + x] = self._merge([*a, *b]) == ([a, b] if a else [b])
         return ok
 
     def lattice(self, s: str, i: int) -> Iterator[tuple[str, int | None]]:
@@ -197,29 +210,64 @@ class Transducer:
                     cost[j], back[j] = c, (piece, x)
         return self._path(back, n)
 
-    def _only(self, s: str) -> list[tuple[str, int | None]]:
-        """The same over the lattice composed with M: weights are 0 or none,
-        and one path leads into each position, so the first is the shortest."""
-        n, longest, get, allowed = len(s), self.longest, self.states.get, self.allowed
-        back: list[tuple[str, int | None] | None] = [("", None)] + [None] * n
-        for i in range(n):
-            if back[i] is None:
-                continue
-            before, single = back[i][0], False
-            for j in range(i + 1, min(n, i + longest) + 1):
-                piece = s[i:j]
-                x = get(piece)
-                if x is None:
-                    break
+    def _only(self, s: str) -> list[int]:
+        """The same over the lattice composed with M, as ids. Weights are 0 or
+        none and at most one path leads into a position, so a best-first
+        search that takes long arcs first ends with the shortest path, and a
+        position that led nowhere never will. A character that only B takes
+        has code -10 - ord."""
+        n, root, allowed = len(s), self.trie, self.allowed.get
+        path: list[int] = []
+        starts: list[int] = []
+        open_: list[list[tuple[int, int]]] = []  # arcs left to try, by depth
+        dead: set[int] = set()
+        i, before, fresh = 0, -1, True
+        while i < n:
+            if fresh:
+                arcs, node, j = [], root.get(s[i]), i + 1
+                if node is None or "" not in node:
+                    arcs.append((-10 - ord(s[i]), j))
+                while node is not None:
+                    x = node.get("")
+                    if x is not None:
+                        arcs.append((x, j))
+                    if j == n:
+                        break
+                    node = node.get(s[j])
+                    j += 1
+                open_.append(arcs)
+            arcs, fresh = open_[-1], False
+            while arcs:
+                x, j = arcs.pop()
+                if j in dead:
+                    continue
                 if x >= 0:
-                    single |= j == i + 1
-                    if back[j] is None:
-                        ok = allowed.get((before, piece))
-                        if ok or ok is None and self._adjacent(before, piece):
-                            back[j] = (piece, x)
-            if not single and back[i + 1] is None:
-                back[i + 1] = (s[i], None)
-        return self._path(back, n)
+                    ok = allowed((before << 20) + x)
+                    if not (ok or ok is None and self._adjacent(before, x)):
+                        continue
+                path.append(x)
+                starts.append(i)
+                i, before, fresh = j, x, True
+                break
+            if not fresh:
+                dead.add(i)
+                open_.pop()
+                path.pop()
+                i = starts.pop()
+                before = path[-1] if path else -1
+        return path if not path or min(path) >= 0 else self._fallback(path)
+
+    def _fallback(self, path: list[int]) -> list[int]:
+        out, unknown = [], False
+        for x in path:
+            if x >= 0:
+                out.append(x)
+            elif self.bytes:
+                out += [self.bytes[b] for b in chr(-10 - x).encode()]
+            elif not unknown:
+                out.append(self.unk)
+            unknown = x < 0
+        return out
 
     @staticmethod
     def _path(back: list, n: int) -> list[tuple[str, int | None]]:
@@ -260,69 +308,75 @@ class Transducer:
             out.append(held)
         return out
 
-    def _segment(self, s: str) -> list[int]:
-        path = self._only if self.kind == BPE else self._shortest
+    def _ids(self, s: str) -> bytes:
+        return array("I", self._only(s) if self.kind == BPE else self._emit(self._shortest(s))).tobytes()
+
+    def _segment(self, s: str) -> bytes:
+        """Ids of a segment, four bytes each; the segment is first cut where
+        no piece spans two neighbouring characters."""
         if not self.bytes:
-            return self._emit(path(s))
-        inner, cache = self.inner, self.cache
-        at = [k + 1 for k in range(len(s) - 1) if s[k : k + 2] not in inner]
-        if not at:
-            return self._emit(path(s))
-        out: list[int] = []
-        for a, b in zip([0, *at], [*at, len(s)]):
-            ids = cache.get(s[a:b])
+            return self._ids(s)
+        inner, last, parts = self.inner, 0, []
+        for k, pair in enumerate(zip(s, s[1:]), 1):
+            if pair not in inner:
+                parts.append(s[last:k])
+                last = k
+        if not last:
+            return self._ids(s)
+        return b"".join([self._known(x, self._ids) for x in (*parts, s[last:])])
+
+    def _known(self, s: str, make) -> bytes:
+        """From the cache of two generations: a full one becomes the old one,
+        what is used from it moves on."""
+        ids = self.cache.get(s)
+        if ids is None:
+            ids = self.old.get(s)
             if ids is None:
-                ids = self._emit(path(s[a:b]))
-                if b - a <= 64:
-                    cache[s[a:b]] = ids
-            out += ids
-        return out
+                ids = make(s)
+            if len(s) <= 64:
+                if len(self.cache) >= SEGMENTS:
+                    self.old, self.cache = self.cache, {}
+                self.cache[s] = ids
+        return ids
+
+    def packed(self, text: str | None) -> bytes:
+        """Ids of a text, four bytes each."""
+        if not text:
+            return b""
+        s = self.normalise(text)
+        if self.separable and s[:1] == SPACE and s[-1:] != SPACE and SPACE * 2 not in s:
+            parts = s[1:].split(SPACE)
+            found = list(map(self.words.get, parts))
+            if None in found:
+                words, old = self.words, self.old_words
+                for k, x in enumerate(found):
+                    if x is None:
+                        part = parts[k]
+                        found[k] = x = old.get(part) or words.get(part) or self._segment(SPACE + part)
+                        if len(words) >= WORDS:
+                            self.old_words, self.words = old, words = words, {}
+                        if len(part) <= 64:
+                            words[part] = x
+            return b"".join(found)
+        return b"".join([self._known(x, self._segment) for x in self.segments(s)])
 
     def encode(self, text: str | None) -> list[int]:
         """Ids as the library gives them; null and empty texts have none."""
-        if not text:
-            return []
-        out: list[int] = []
-        cache = self.cache
-        s = self.normalise(text)
-        if SPACE * 2 not in s and s[:1] == SPACE and self.separable:
-            parts: list[str] = [SPACE + x for x in s[1:].split(SPACE)]
-        else:
-            parts = self.segments(s)
-        for part in parts:
-            ids = cache.get(part)
-            if ids is None:
-                ids = self._segment(part)
-                if len(part) <= 64:
-                    if len(cache) >= SEGMENTS:
-                        cache.clear()
-                    cache[part] = ids
-            out += ids
-        return out
+        return array("I", self.packed(text)).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The inverse transduction: bytes join to characters, control pieces
         vanish, U+2581 becomes a space, the dummy prefix goes."""
-        out, held = [], bytearray()
-        first = True
-        for x in ids:
-            piece, _, kind = self.pieces[x]
-            if kind == BYTE:
-                held.append(int(piece[3:5], 16))
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held, first = bytearray(), False
-            if kind == CONTROL:
-                continue
-            if kind == UNKNOWN:
-                out.append(self.unk_surface)
-            else:
-                out.append((piece[1:] if first and self.normalise.dummy_prefix and piece.startswith(SPACE) else piece).replace(SPACE, " "))
-            first = False
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        return "".join(out)
+        text = "".join([self.surface[x] for x in ids])
+        if self.normalise.dummy_prefix and text[:1] == " ":
+            first = next(x for x in ids if self.surface[x])
+            if self.pieces[first][2] == NORMAL:
+                text = text[1:]
+        try:
+            text.encode()
+        except UnicodeEncodeError:  # bytes from 0x80 on stand as lone surrogates
+            text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+        return text
 
 
 def load(path: str) -> bytes:
@@ -339,14 +393,17 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", round_trip: bool =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         t = transducer(shared.value)
         for batch in batches:
-            ids = [t.encode(x) for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            columns, names = [*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, "ids"]
+            packed = [t.packed(x) for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int32)
+            values = np.frombuffer(b"".join(packed), dtype=np.uint32).view(np.int32)
+            columns, names = [*batch.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))], [*batch.schema.names, "ids"]
             if round_trip:
-                columns.append(pa.array([t.decode(x) for x in ids], pa.string()))
+                columns.append(pa.array([t.decode(array("I", x)) for x in packed], pa.string()))
                 names.append("decoded")
             yield pa.RecordBatch.from_arrays(columns, names)
 
