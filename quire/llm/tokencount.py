@@ -13,6 +13,9 @@ from __future__ import annotations
 
 import functools
 import os
+import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -25,57 +28,66 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 HEAD = 1 << 18
 
 
+# Line feed, printable ASCII and Latin letters: nearly all texts are made of these.
+PLAIN = re.compile("[^\n -~\u00c0-\u024f]").search
+
+
 @functools.cache
-def unassigned():
-    """A pattern for one code point without a category in this Unicode version."""
-    import re
-    import unicodedata
-
-    ranges, start = [], None
-    for c in range(0x110000):
-        if unicodedata.category(chr(c)) == "Cn":
-            start = c if start is None else start
-        elif start is not None:
-            ranges.append((start, c - 1))
-            start = None
-    if start is not None:
-        ranges.append((start, 0x10FFFF))
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
-
-
-def splitter(tokenizer_path: str):
-    """A function from a text to (its pre-tokens, its count of added tokens)."""
-    import json
-
-    import regex
-
-    find = regex.compile(SPLIT).findall
-    with open(tokenizer_path, encoding="utf-8") as f:
-        added = [x["content"] for x in json.load(f)["added_tokens"]]
-    odd = unassigned().search
-    aside: list = []
-
-    def by_library(part: str) -> list[str]:
-        """Unicode versions differ between libraries; texts with code points
-        that are unassigned here are split by the tokeniser's own splitter."""
-        if not aside:
+def _odd(char: str) -> bool:
+    """Whether the fast split may read a code point otherwise than the
+    tokeniser: white space other than space and line feed, numbers other than
+    decimal digits, and what this Unicode version leaves unassigned."""
+    return unicodedata.category(char) in ("Cn", "No", "Nl") or char.isspace() and char not in " \n"
+
+
+def unusual(text: str) -> bool:
+    return PLAIN(text) is not None and any(map(_odd, set(text)))
+
+
+class Splitter:
+    """Pre-tokens of texts.
+
+    A space that has no white space beside it starts a pre-token, so a text
+    without such neighbours is its space-separated words, each split on its
+    own: distinct words are split once, however often they occur.
+    """
+
+    def __init__(self, tokenizer_path: str):
+        import json
+
+        import regex
+
+        self.path, self.library = tokenizer_path, None
+        self.find = regex.compile(SPLIT).findall
+        with open(tokenizer_path, encoding="utf-8") as f:
+            self.added = [x["content"] for x in json.load(f)["added_tokens"]]
+        self.cut_at = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
+
+    def _by_library(self, part: str) -> list[str]:
+        """Unicode versions differ between libraries: unusual texts are split by the tokeniser's own splitter."""
+        if self.library is None:
             from tokenizers import Tokenizer
 
-            aside.append(Tokenizer.from_file(tokenizer_path).pre_tokenizer)
-        return [part[a:b] for _, (a, b) in aside[0].pre_tokenize_str(part)]
+            self.library = Tokenizer.from_file(self.path).pre_tokenizer
+        return [part[a:b] for _, (a, b) in self.library.pre_tokenize_str(part)]
 
-    cut_at = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
+    def split(self, text: str) -> tuple[list[str], int]:
+        """All pre-tokens in order, and the number of added tokens."""
+        find = self._by_library if unusual(text) else self.find
+        if not any(a in text for a in self.added):
+            return find(text), 0
+        parts = self.cut_at.split(text)
+        return [x for part in parts for x in find(part)], len(parts) - 1
 
-    def split(text: str) -> tuple[list[str], int]:
-        rare = not text.isascii() and odd(text)
-        if cut_at is None or not any(a in text for a in added):
-            return by_library(text) if rare else find(text), 0
-        parts, out = cut_at.split(text), []
-        for part in parts:
-            out += by_library(part) if rare else find(part)
-        return out, len(parts) - 1
+    def words(self, text: str) -> tuple[dict[str, int], list[str], int]:
+        """Frequencies of words that follow a space, other pre-tokens, added tokens."""
+        if "  " in text or " \n" in text or "\n " in text or any(a in text for a in self.added) or unusual(text):
+            return {}, *self.split(text)
+        first, _, rest = text.partition(" ")
+        return Counter(rest.split(" ")) if _ else {}, self.find(first), 0
 
-    return split
+    def of(self, word: str) -> list[str]:
+        return self.find(" " + word)
 
 
 def piece_counter(tokenizer_path: str):
@@ -96,23 +108,26 @@ def piece_counter(tokenizer_path: str):
 def pretokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(pretoken, freq), partial sums by task; group them before use."""
     def run(batches: Iterator) -> Iterator:
-        from collections import Counter
-
         import pyarrow as pa
 
-        split, seen = splitter(tokenizer_path), Counter()
+        splitter, words, loose = Splitter(tokenizer_path), Counter(), Counter()
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], ["pretoken", "freq"])
+            for word, freq in words.items():
+                for x in splitter.of(word):
+                    loose[x] += freq
+            return pa.RecordBatch.from_arrays([pa.array(list(loose.keys()), pa.string()), pa.array(list(loose.values()), pa.int64())], ["pretoken", "freq"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    seen.update(split(text)[0])
-                    if len(seen) > 400_000:
+                    spaced, rest, _ = splitter.words(text)
+                    words.update(spaced)
+                    loose.update(rest)
+                    if len(words) + len(loose) > 500_000:
                         yield flush()
-                        seen.clear()
-        if seen:
+                        words.clear(), loose.clear()
+        if words or loose:
             yield flush()
 
     return docs.select("text").mapInArrow(run, "pretoken string, freq long")
@@ -150,27 +165,39 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, head:
     known = spark.sparkContext.broadcast((top.column(0).to_pylist(), top.column(1).to_pylist()))
 
     def run(batches: Iterator) -> Iterator:
-        from collections import Counter
-
         import pyarrow as pa
 
-        split, get = splitter(tokenizer_path), dict(zip(*known.value)).get
+        splitter, get = Splitter(tokenizer_path), dict(zip(*known.value)).get
+        seen: dict[str, tuple[int, tuple]] = {}
+
+        def parts(found: list[str]) -> tuple[int, tuple]:
+            """Pieces of known pre-tokens, and the unknown ones."""
+            pieces = [(x, get(x)) for x in found]
+            return sum(n for _, n in pieces if n is not None), tuple(x for x, n in pieces if n is None)
+
         for batch in batches:
             keys, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for key, doc_id, text in zip(keys, ids, batch.column(2).to_pylist()):
-                total, tail = 0, []
+                total, tail = 0, {}
                 if text:
-                    found, total = split(text)
-                    for word, freq in Counter(found).items():
-                        pieces = get(word)
-                        if pieces is None:
-                            tail.append((word, freq))
-                        else:
-                            total += pieces * freq
+                    spaced, rest, total = splitter.words(text)
+                    n, unknown = parts(rest)
+                    total += n
+                    for x in unknown:
+                        tail[x] = tail.get(x, 0) + 1
+                    for word, freq in spaced.items():
+                        hit = seen.get(word)
+                        if hit is None:
+                            if len(seen) >= 300_000:
+                                seen.clear()
+                            hit = seen[word] = parts(splitter.of(word))
+                        total += hit[0] * freq
+                        for x in hit[1]:
+                            tail[x] = tail.get(x, 0) + freq
                 # The first row of a document carries what is summed already, under a key that no pre-token has.
                 out[0].append(key), out[1].append(doc_id), out[2].append(len(text.encode()) if text else 0), out[3].append(total), out[4].append(f"{key} {key}"), out[5].append(0)
-                for word, freq in tail:
+                for word, freq in tail.items():
                     out[0].append(key), out[1].append(None), out[2].append(0), out[3].append(0), out[4].append(word), out[5].append(freq)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()))], ["key", "doc_id", "n_bytes", "part", "pretoken", "freq"])
 
