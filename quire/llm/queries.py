@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import cdc, covertree, ensemble, linededup, mixture, piecefst, spotsigs, tokencount, toxicity, warc
 from .common import table
+from .sql import SQL  # noqa: F401
 
 
 def tokenizer_path(name: str) -> str:
@@ -16,7 +17,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derivatives(warc.page_responses(table(spark, sf_dir, "pages")).withColumn("page_id", F.col("page_id")), keep=("page_id",))
+    return warc.derivatives(warc.page_responses(table(spark, sf_dir, "pages")), keep=("page_id",))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +63,3 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_spotsigs, op3_piece_transducer, op4_toxicity_mil, op5_content_chunks, op6_dual_tree, op7_containment_ensemble, op8_line_dedup, op9_token_counts, op10_entropy_mixture)}
-SQL: dict[str, str] = {}
