@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -46,22 +47,22 @@ def fit_bags(texts: list[str], labels: list[int], epochs: int = 240, l2: float =
     df: Counter = Counter()
     bags = []
     for text in texts:
-        sentences = [sorted({f for w in set(WORD.findall(s)) for f in features(w)}) for s in SENTENCE.findall(text.lower())]
+        sentences = [set(WORD.findall(s)) for s in SENTENCE.findall(text.lower())]
         bags.append([s for s in sentences if s])
-        df.update({f for s in sentences for f in s})
+        df.update({f for s in sentences for w in s for f in features(w)})
     names = [f for f, n in sorted(df.items(), key=lambda x: (-x[1], x[0])) if n >= min_docs][:max_features]
     index = {f: i for i, f in enumerate(names)}
-    cols, rows, doc_of = [], [], []
+    cols, rows, doc_of = array("i"), array("i"), []
     for d, bag in enumerate(bags):
         for s in bag:
-            ids = [index[f] for f in s if f in index]
-            cols += ids
-            rows += [len(doc_of)] * len(ids)
+            ids = sorted({index[f] for w in s for f in features(w) if f in index})
+            cols.extend(ids)
+            rows.extend([len(doc_of)] * len(ids))
             doc_of.append(d)
     y = np.asarray(labels, dtype=np.float64)
     if not doc_of or not names or y.min() == y.max():
         return {}, -30.0 if not len(y) or y.max() == 0 else 0.0
-    cols, rows, doc_of = np.asarray(cols), np.asarray(rows), np.asarray(doc_of)
+    cols, rows, doc_of = np.frombuffer(cols, dtype=np.int32), np.frombuffer(rows, dtype=np.int32), np.asarray(doc_of, dtype=np.int32)
     n_docs, n_sents, k = len(y), len(doc_of), len(names)
     w, bias = np.zeros(k), math.log(max(y.mean(), 1e-3)) - math.log(n_sents / n_docs)
     m, v = np.zeros(k + 1), np.zeros(k + 1)
