@@ -140,7 +140,9 @@ def report(docs: DataFrame, min_span: int = MIN_SPAN, **kw) -> DataFrame:
 
 
 def dedup(docs: DataFrame, min_span: int = MIN_SPAN, **kw) -> DataFrame:
-    """docs with the repeated spans taken out of `text`."""
+    """docs with the repeated spans taken out of `text`. Extra columns pass
+    through, but for cdc_key and cdc_spans."""
+    docs = docs.drop("cdc_key", "cdc_spans")
     @F.pandas_udf("string")
     def strip(text, at):
         import pandas as pd

@@ -20,6 +20,7 @@ from .common import ASCII_SPACE, cut
 
 SHARDS = 64
 MIN_CHARS, MIN_DOCS = 20, 3
+WORK = ("k_id", "k_text", "hits", "drops")  # names of columns on the way
 FILTER_BYTES = 64 << 20  # filters up to this size in all are broadcast
 
 
@@ -270,8 +271,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
 
     Null and empty texts are one empty line. Rows are documents: repeated rows
     count each, and with equal doc_ids they are all the largest. Null doc_ids
-    are below all others. Extra columns pass through. Empty in, empty out.
+    are below all others. Extra columns pass through but for those with a name
+    of the result or of WORK, which are left out. Empty in, empty out.
     """
+    docs = docs.drop("kept", "n_lines", "n_dropped", *WORK)
     repeated = cut(reference_counts(postings(docs, min_chars)).filter(F.col("n") >= min_docs).select("a", "b", "last"))
     filters = cut(build_filters(repeated, shards))
     small = filters.agg(F.coalesce(F.sum(F.octet_length("filter")), F.lit(0))).first()[0] <= FILTER_BYTES

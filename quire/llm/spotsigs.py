@@ -101,7 +101,9 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `fingerprint` and `n_signatures`; extra columns pass through."""
+    """docs with `fingerprint` and `n_signatures`; extra columns pass through,
+    but for those of these names and fp."""
+    docs = docs.drop("fp", "fingerprint", "n_signatures")
     @F.pandas_udf("fingerprint string, n_signatures int")
     def run(batch):
         import pandas as pd

@@ -94,8 +94,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_docs: int
     def train(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        rows = pd.concat(list(batches), ignore_index=True)
-        rows = rows.drop_duplicates("doc_id").sort_values("doc_id") if len(rows) else rows
+        held = [b for b in batches if len(b)]
+        rows = pd.concat(held, ignore_index=True).drop_duplicates("doc_id").sort_values("doc_id") if held else pd.DataFrame({"text": [], "y": []})
         weights, bias = fit_bags(rows["text"].tolist(), rows["y"].tolist(), max_features=max_features)
         yield pd.DataFrame({"feature": [*weights, ""], "weight": [*weights.values(), bias]})
 
@@ -151,8 +151,10 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
     """docs with score, predicted, n_sentences and the worst sentence's span.
 
     Null and empty texts, and texts without words, score 0. Extra columns pass
-    through; repeated rows are scored alike.
+    through but for those with a name of the result, which are replaced;
+    repeated rows are scored alike.
     """
+    docs = docs.drop("score", "predicted", "n_sentences", "worst_start", "worst_end", "worst_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = "score double, n_sentences int, worst_start int, worst_end int, worst_score double"
 
