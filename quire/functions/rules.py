@@ -38,7 +38,7 @@ STRENGTH: Rules = [
 ]
 MAY_DATE = r"(?i)\bmay\s+(\d{4}|\d{1,2})\b"
 
-LEGAL = r"(?i)\b(trademark|proprietary|permission|licensed?|warrant(y|ies)|liabilit(y|ies)|disclaimer|copyright|no\s+part\s+of\s+this\s+publication|all\s+rights\s+reserved)\b"
+LEGAL = r"(?i)\b(trademark|proprietary|permission|licensed?|warrant(y|ies)|liabilit(y|ies)|disclaimer|copyright|no +part +of +this +publication|all +rights +reserved)\b"
 TOC = r"(?i)^\s*(contents|table\s+of\s+contents)\s*$"
 TERM = r"[A-Z][-\w ()/]{1,80}"
 
@@ -106,5 +106,4 @@ DOMAIN_WORDS = {
     "customer-requirements": "+compliance matrix|+customer requirement|+customer requirements|acceptance criteria|customer shall|customer specification|customer-requirements|product requirement|shall comply|supplier shall|vendor requirement|vendor requirements|vendor shall",
 }
 
-TABLE_WORDS = ("bits", "command", "description", "field", "name", "opcode", "parameter", "value")
-HEX = r"(?:0x[0-9A-Fa-f]+|[0-9A-Fa-f]+h)"
+HEX = r"(?i)(0x[a-f\d]+|[a-f\d]+h)"

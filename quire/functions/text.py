@@ -22,7 +22,7 @@ def char_tokens(c: Words) -> Column:
 
 
 def regex_tokens(c: Words) -> Column:
-    return F.regexp_count(col(c), F.lit(r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]"))
+    return F.regexp_count(col(c), F.lit(r"\w+|[^\w\s]"))
 
 
 def collapse(c: Words) -> Column:
@@ -47,7 +47,7 @@ def search_key(c: Words) -> Column:
 
 
 def leading_index(c: Words) -> Column:
-    return F.nullif(F.regexp_extract(F.trim(col(c)), r"^(\d+(?:\.\d+)*)\s+\S", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(F.trim(col(c)), r"^(\d+(\.\d+)*)\s+\S", 1), F.lit(""))
 
 
 def heading_level(index: Words) -> Column:
@@ -58,7 +58,7 @@ def heading_level(index: Words) -> Column:
 def sentence_list(c: Words) -> Column:
     """Sentences of a text, by lines, then after [.!?] before an opening."""
     lines = F.filter(F.transform(F.split(col(c), "\n"), F.trim), lambda x: x != "")
-    parts = F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[.!?])\s+(?=[A-Z0-9(\[])")))
+    parts = F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[!?.])\s+(?=[(\[0-9A-Z])")))
     return F.filter(F.transform(parts, F.trim), lambda x: x != "")
 
 
@@ -82,7 +82,7 @@ def ref_key(c: Words) -> Column:
     with a letter too, everything else loses its punctuation."""
     prefixes = r"(?i)^(?:log identifier|log page|lid|feature identifier|fid|requirement|req|opcode|command opcode|register|capability) "
     t = F.btrim(F.regexp_replace(F.btrim(col(c), F.lit(" .,;:")), prefixes, ""), F.lit(" .,;:"))
-    digits = F.regexp_extract(t, r"^(?:0x([0-9a-fA-F]+)|([0-9a-fA-F]+)h|([0-9a-fA-F]*[a-fA-F][0-9a-fA-F]*))$", 0)
+    digits = F.regexp_extract(t, r"(?i)^(0x[a-f\d]+|[a-f\d]+h|\d*[a-f][a-f\d]*)$", 0)
     hexed = F.regexp_replace(F.regexp_replace(F.lower(digits), "^0x|h$", ""), "^0+(?=.)", "")
     return F.when(digits != "", F.concat(F.lit("hex:"), hexed)).otherwise(clean_key(t))
 

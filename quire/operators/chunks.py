@@ -10,8 +10,8 @@ from pyspark.sql.window import Window
 
 from ..functions.ids import parent_section
 
-TECHNICAL_PRIORITY = {"command_opcode": 96, "command_dword_field": 94, "command_pointer_field": 94, "status_code": 90}
-DOMAIN_PRIORITY = {"command": 98, "command_dword_field": 97, "command_pointer_field": 97, "status_code": 96}
+TECHNICAL_PRIORITY = dict(status_code=90, command_pointer_field=94, command_dword_field=94, command_opcode=96)
+DOMAIN_PRIORITY = dict(status_code=96, command_pointer_field=97, command_dword_field=97, command=98)
 
 
 def greedy_groups(df: DataFrame, keys: list[str], order: str, size: Column, budget: int) -> DataFrame:

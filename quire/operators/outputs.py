@@ -45,7 +45,7 @@ def table_confidence(df: DataFrame) -> DataFrame:
 SECURITY_TEXT = [
     ("certificate", r"rx(t, '(?i)\bcertificate')"), ("measurement", r"rx(t, '(?i)\bmeasure')"), ("key", r"rx(t, '(?i)\bkey\b')"), ("power_loss", r"rx(t, '(?i)\bpower\b.*\blost\b')"), ("authority", r"rx(t, '(?i)\bvendor\b')"), ("session", r"rx(t, '(?i)\bsession\b')"),
 ]
-BASE = {"heading": 0.64, "list": 0.60, "paragraph": 0.58}
+BASE = {"paragraph": 0.58, "list": 0.60, "heading": 0.64}
 
 
 def text_candidates(df: DataFrame, text: str, block_type: str, has_path: str) -> DataFrame:

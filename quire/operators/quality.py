@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SEVERITY = {"error": 0, "warning": 1, "info": 2}
+SEVERITY = {name: rank for rank, name in enumerate(("error", "warning", "info"))}
 
 
 def missing_refs(refs: DataFrame, records: DataFrame, keys: list[str]) -> DataFrame:

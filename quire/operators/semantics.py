@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ..functions.rules import INTENT, LEGAL, MAY_DATE, REVIEW_ONLY, STRENGTH, TERM, TESTABLE, TOC
 from ..functions.text import ref_key, sentence_list
 
-REQ_ID = r"(?i)\b[A-Z][A-Z0-9]{1,12}(-[A-Z0-9]{1,12})*-\d+\b"
+REQ_ID = r"(?i)\b[a-z][0-9a-z]{1,12}(-[0-9a-z]{1,12})*-\d+\b"
 CONDITION = r"(?i)\b(if|provided that|unless|when|where)\b[^.;]*"
 EXCEPTION = r"(?i)\b(except|excluding|unless)\b[^.;]*"
 DEPENDENCY = r"(?i)\b(according to|as specified in|per|see)\s+(Clause|Figure|Requirement|Section|Table)\s+[-\w.]+"
@@ -83,11 +83,11 @@ def requirements(units: DataFrame, keys: list[str]) -> DataFrame:
     ).withColumn("intent", intent("testability"))
 
 
-_MULTI = re.compile(r"\b(section|clause)s?\s+(\d+(?:\.\d+)*(?:\s*(?:,|and|or)\s*\d+(?:\.\d+)*)+)", re.I)
-_SINGLE = re.compile(r"\b(section|clause|table|figure|appendi(?:x|ce))s?\s+([a-z0-9]+(?:[.-][a-z0-9]+)*)", re.I)
-_HEX = r"(0x[0-9a-f]+|[0-9a-f]+h)\b"
+_MULTI = re.compile(r"\b(section|clause)s?\s+(\d+(\.\d+)*(\s*(,|or|and)\s*\d+(\.\d+)*)+)", re.I)
+_SINGLE = re.compile(r"\b(section|clause|table|figure|appendi(?:x|ce))s?\s+([0-9a-z]+([-.][0-9a-z]+)*)", re.I)
+_HEX = r"(0x[a-f\d]+|[a-f\d]+h)\b"
 _EXTRA = [
-    ("requirement", re.compile(r"\breq(?:uirement)?\.?(?:\s+id)?\s+([a-z][a-z0-9]{1,12}(?:-[a-z0-9]{1,12})*-\d+)\b", re.I)),
+    ("requirement", re.compile(r"\breq(?:uirement)?\.?(?:\s+id)?\s+([a-z][0-9a-z]{1,12}(-[0-9a-z]{1,12})*-\d+)\b", re.I)),
     ("log_page", re.compile(rf"\b(?:lid|log\s+(?:page|identifier))\s+{_HEX}", re.I)),
     ("feature", re.compile(rf"\b(?:fid|feature\s+identifier)\s+{_HEX}", re.I)),
     ("opcode", re.compile(rf"\b(?:command\s+)?opcode\s+{_HEX}", re.I)),
@@ -100,7 +100,7 @@ def references(text: str | None) -> list[tuple[str, str, int, int]]:
     text, out, spans = text or "", [], []
     kinds = {"clause": "section", "appendice": "appendix"}
     for m in _MULTI.finditer(text):
-        out += [("section", x, m.start(), m.end()) for x in re.findall(r"\d+(?:\.\d+)*", m[2])]
+        out += [("section", x, m.start(), m.end()) for x in re.findall(r"\d[.\d]*\d|\d", m[2])]
         spans.append(m.span())
     for m in _SINGLE.finditer(text):
         if not any(m.start() < b and a < m.end() for a, b in spans):

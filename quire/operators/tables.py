@@ -103,7 +103,7 @@ def split_notes(grid: Column) -> tuple[Column, Column]:
     return F.filter(grid, lambda r: ~is_note(r) & F.exists(r, lambda x: F.trim(x) != "")), notes
 
 
-def repair(grid: list[list[str]]) -> list[list[str]]:
+def repair(grid: list) -> list:
     """Neighbouring columns that never both hold text in a row become one,
     until nothing changes."""
     changed = True

@@ -22,7 +22,7 @@ def line_types(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {LINES_SQL} SELECT doc_id, line_no, {MASK.format('text')} AS masked, nullif(left(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 96), '') AS slug,
-nullif(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), '') AS search_key, CAST((length(text) + 3) // 4 AS INT) AS char_tokens, CAST(len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^\\sA-Za-z0-9_]')) AS INT) AS regex_tokens FROM lines""")
+nullif(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), '') AS search_key, CAST((length(text) + 3) // 4 AS INT) AS char_tokens, CAST(len(regexp_extract_all(text, '\\w+|[^\\w\\s]')) AS INT) AS regex_tokens FROM lines""")
 def text_functions(spark: SparkSession, d: str) -> DataFrame:
     return lines(spark, d).select("doc_id", "line_no", digit_mask("text").alias("masked"), slug("text").alias("slug"), search_key("text").alias("search_key"), char_tokens("text").alias("char_tokens"), regex_tokens("text").alias("regex_tokens"))
 
