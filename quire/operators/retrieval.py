@@ -50,14 +50,15 @@ def chunk_metrics(chunks: DataFrame, target: int = 512) -> DataFrame:
     comes from counts by length, not from a collected list."""
     sized = chunks.select(F.coalesce("token_estimate", F.lit(0)).alias("tok"), "source_key")
     lengths = sized.groupBy("tok").agg(F.count("*").alias("n"))
-    upto = lengths.withColumn("cum", F.sum("n").over(Window.orderBy("tok"))).crossJoin(F.broadcast(lengths.agg(F.sum("n").alias("all"))))
+    upto = lengths.withColumns({"cum": F.sum("n").over(Window.orderBy("tok")), "all": F.sum("n").over(Window.partitionBy())})  # a row a length
     p95 = upto.filter(F.col("cum") > F.bround((F.col("all") - 1) * 0.95)).agg(F.min("tok").alias("token_p95"))
     one = sized.agg(
         F.count("*").alias("chunk_count"), F.max("tok").alias("token_max"), F.round(F.avg("tok"), 2).alias("token_avg"), F.count_if(F.col("tok") > target).alias("over_target"),
         F.round(F.avg((F.col("tok") <= target).cast("int")), 4).alias("compliance"), (F.count("source_key") - F.countDistinct("source_key")).alias("duplicate_sources"),
         F.round((F.count("source_key") - F.countDistinct("source_key")) / F.greatest(F.count("source_key"), F.lit(1)), 4).alias("duplicate_ratio"),
     )
-    return one.crossJoin(p95)  # one row each
+    both = one.unionByName(p95, allowMissingColumns=True)  # one row each
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def calibrate(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
