@@ -107,7 +107,7 @@ def grid_repair(spark: SparkSession, d: str) -> DataFrame:
     return g.select("grid_id", F.array_join(F.transform("grid", lambda r: F.array_join(r, "/")), ";").alias("cells"))
 
 
-CAND_SQL = """cand AS (SELECT l_orderkey % 500 AS page, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS candidate_id, CAST(l_suppkey % 4 * 50 AS DOUBLE) AS x0, CAST(l_partkey % 5 * 60 AS DOUBLE) AS top, CAST(l_suppkey % 4 * 50 + 40 + l_quantity AS DOUBLE) AS x1, CAST(l_partkey % 5 * 60 + 50 AS DOUBLE) AS bottom, l_discount * 5 AS quality, l_returnflag AS strategy FROM lineitem)"""
+CAND_SQL = """cand AS (SELECT l_orderkey // 30 AS page, row_number() OVER (PARTITION BY l_orderkey // 30 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS candidate_id, CAST(l_suppkey % 4 * 50 AS DOUBLE) AS x0, CAST(l_partkey % 5 * 60 AS DOUBLE) AS top, CAST(l_suppkey % 4 * 50 + 40 + l_quantity AS DOUBLE) AS x1, CAST(l_partkey % 5 * 60 + 50 AS DOUBLE) AS bottom, l_discount * 5 AS quality, l_returnflag AS strategy FROM lineitem)"""
 
 
 def candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +115,7 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 
     li = table(spark, d, "lineitem")
     return li.select(
-        (F.col("l_orderkey") % 500).alias("page"), F.row_number().over(Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).alias("candidate_id"), (F.col("l_suppkey") % 4 * 50).cast("double").alias("x0"), (F.col("l_partkey") % 5 * 60).cast("double").alias("top"),
+        F.expr("l_orderkey div 30").alias("page"), F.row_number().over(Window.partitionBy(F.expr("l_orderkey div 30")).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).alias("candidate_id"), (F.col("l_suppkey") % 4 * 50).cast("double").alias("x0"), (F.col("l_partkey") % 5 * 60).cast("double").alias("top"),
         (F.col("l_suppkey") % 4 * 50 + 40 + F.col("l_quantity")).alias("x1"), (F.col("l_partkey") % 5 * 60 + 50).cast("double").alias("bottom"), (F.col("l_discount") * 5).alias("quality"), F.col("l_returnflag").alias("strategy"),
     )
 
