@@ -52,6 +52,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+CACHES: list[dict] = []  # bounded per-worker caches of the operators
+
+
+def release_caches() -> None:
+    import gc
+
+    for cache in CACHES:
+        cache.clear()
+    gc.collect()
+
+
 def hash128(*cols: Column) -> tuple[Column, Column]:
     """Two independently seeded 64-bit hashes; together a 128-bit key."""
     return F.xxhash64(*cols), F.xxhash64(F.lit(1779033703), *cols)

@@ -28,6 +28,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import CACHES
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 UNIGRAM, BPE = 1, 2
@@ -414,6 +416,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", round_trip: bool =
 
 
 _LOADED: dict[int, Transducer] = {}
+CACHES.append(_LOADED)
 
 
 def transducer(model: bytes) -> Transducer:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, partitions
+from .common import CACHES, cut, partitions
 
 FUNCTION_WORDS = frozenset(
     "a an and are as at be but by for from had has have he her his i in is it its not of on or our she so than that the their them then there these they this to was we were what when which who will with you "
@@ -37,7 +37,7 @@ FUNCTION_WORDS = frozenset(
 WORD = re.compile(r"\w+")
 CHAIN = 2
 ANCHOR_EVERY = 8
-WORD_CACHE = 400_000
+WORD_CACHE = 250_000
 
 
 class _Words(dict):
@@ -54,6 +54,7 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+CACHES.append(_WORDS)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

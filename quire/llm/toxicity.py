@@ -22,11 +22,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release_caches
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W_]+")
-MAX_DOCS, MAX_FEATURES = 12_000, 50_000
+MAX_DOCS, MAX_FEATURES = 7_000, 50_000
 WORD_CACHE = 300_000
 
 
@@ -40,39 +40,78 @@ def held_out(doc_id: str = "doc_id"):
 
 def fit_bags(texts: list[str], labels: list[int], epochs: int = 240, l2: float = 2e-4, min_docs: int = 5, max_features: int = MAX_FEATURES) -> tuple[dict[str, float], float]:
     """Weights by feature, and the bias. Deterministic."""
-    from collections import Counter
-
     import numpy as np
 
-    df: Counter = Counter()
-    bags = []
-    for text in texts:
-        sentences = [set(WORD.findall(s)) for s in SENTENCE.findall(text.lower())]
-        bags.append([s for s in sentences if s])
-        df.update({f for s in sentences for w in s for f in features(w)})
-    names = [f for f, n in sorted(df.items(), key=lambda x: (-x[1], x[0])) if n >= min_docs][:max_features]
-    index = {f: i for i, f in enumerate(names)}
-    cols, rows, doc_of = array("i"), array("i"), []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            ids = sorted({index[f] for w in s for f in features(w) if f in index})
-            cols.extend(ids)
-            rows.extend([len(doc_of)] * len(ids))
+    # Words and features as numbers: tokens of all sentences in one array.
+    words: dict[str, int] = {}
+    known: dict[str, int] = {}
+    of_word, tokens, ends, doc_of = array("i"), array("i"), array("q"), array("i")
+    for d, text in enumerate(texts):
+        for s in SENTENCE.findall(text.lower()):
+            if not (found := set(WORD.findall(s))):
+                continue
+            for w in sorted(found):
+                x = words.get(w)
+                if x is None:
+                    x = words[w] = len(words)
+                    ids = [known.setdefault(f, len(known)) for f in features(w)]
+                    of_word.extend(ids + [-1] * (5 - len(ids)))
+                tokens.append(x)
+            ends.append(len(tokens))
             doc_of.append(d)
     y = np.asarray(labels, dtype=np.float64)
-    if not doc_of or not names or y.min() == y.max():
+    if not len(doc_of) or y.min() == y.max():
         return {}, -30.0 if not len(y) or y.max() == 0 else 0.0
-    cols, rows, doc_of = np.frombuffer(cols, dtype=np.int32), np.frombuffer(rows, dtype=np.int32), np.asarray(doc_of, dtype=np.int32)
+    table = np.frombuffer(of_word, dtype=np.int32).reshape(-1, 5)
+    tok, stop, doc_of = np.frombuffer(tokens, dtype=np.int32), np.frombuffer(ends, dtype=np.int64), np.frombuffer(doc_of, dtype=np.int32)
+    # Document frequencies, then the features kept: the commonest, ties by name.
+    df = np.zeros(len(known), dtype=np.int32)
+    starts = np.concatenate([[0], stop])[np.searchsorted(doc_of, np.arange(1, len(texts)), "left")]
+    for part in np.split(tok, starts):
+        f = np.unique(table[np.unique(part)])
+        df[f[f >= 0]] += 1
+    names = list(known)
+    kept = sorted(np.flatnonzero(df >= min_docs).tolist(), key=lambda i: (-df[i], names[i]))[:max_features]
+    names = [names[i] for i in kept]
+    remap = np.full(len(known) + 1, -1, dtype=np.int32)
+    remap[kept] = np.arange(len(kept))
+    table = remap[table]
+    del words, known, remap
+    sent = np.repeat(np.arange(len(stop)), np.diff(stop, prepend=0))
+    if not names:
+        return {}, 0.0
+    blocks, first = [], 0  # distinct (sentence, feature) pairs, by blocks of whole sentences
+    while first < len(stop):
+        last = min(len(stop), first + (1 << 14))
+        span = slice(stop[first - 1] if first else 0, stop[last - 1])
+        f = table[tok[span]]
+        pair = np.unique((sent[span, None] * np.int64(len(names)) + f)[f >= 0])
+        blocks.append(((pair // len(names)).astype(np.int32), (pair % len(names)).astype(np.int32)))
+        first = last
+    del sent, tok, tokens, table, f, pair
     n_docs, n_sents, k = len(y), len(doc_of), len(names)
+
+    def spread(w):
+        """Sums of feature weights by sentence."""
+        out = np.zeros(n_sents)
+        for rows, cols in blocks:
+            if len(rows):
+                out[rows[0] : rows[-1] + 1] += np.bincount(rows - rows[0], weights=w[cols])
+        return out
+
+    def gather(g):
+        """Sums of sentence values by feature."""
+        return sum(np.bincount(cols, weights=g[rows], minlength=k) for rows, cols in blocks)
+
     w, bias = np.zeros(k), math.log(max(y.mean(), 1e-3)) - math.log(n_sents / n_docs)
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     for t in range(1, epochs + 1):
-        s = bias + np.bincount(rows, weights=w[cols], minlength=n_sents)
+        s = bias + spread(w)
         p = 1 / (1 + np.exp(-np.clip(s, -40, 40)))
         none = -np.bincount(doc_of, weights=np.logaddexp(0, s), minlength=n_docs)  # log prod(1 - p)
         any_ = np.clip(-np.expm1(none), 1e-12, None)
         g = p * np.where(y == 1, -np.exp(none) / any_, 1.0)[doc_of]
-        grad = np.append(np.bincount(cols, weights=g[rows], minlength=k) / n_docs + l2 * w, g.sum() / n_docs)
+        grad = np.append(gather(g) / n_docs + l2 * w, g.sum() / n_docs)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         step = 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w -= step[:-1]
@@ -94,6 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_docs: int
     def train(batches: Iterator) -> Iterator:
         import pandas as pd
 
+        release_caches()  # a reused worker may hold those of other operators
         held = [b for b in batches if len(b)]
         rows = pd.concat(held, ignore_index=True).drop_duplicates("doc_id").sort_values("doc_id") if held else pd.DataFrame({"text": [], "y": []})
         weights, bias = fit_bags(rows["text"].tolist(), rows["y"].tolist(), max_features=max_features)
