@@ -55,12 +55,18 @@ def _remove(spark: SparkSession, path: str) -> None:
 CACHES: list[dict] = []  # bounded per-worker caches of the operators
 
 
-def release_caches() -> None:
-    import gc
-
+def release_caches(*mine: dict) -> None:
+    """Workers are reused: a task drops what other operators cached there."""
     for cache in CACHES:
-        cache.clear()
-    gc.collect()
+        if not any(cache is x for x in mine):
+            cache.clear()
+
+
+def slices(batches, rows: int = 1000):
+    """Smaller Arrow batches: what a task unpacks at a time stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def hash128(*cols: Column) -> tuple[Column, Column]:

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, cut
+from .common import ASCII_SPACE, cut, release_caches, slices
 
 SHARDS = 64
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -124,7 +124,8 @@ def postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        release_caches()
+        for batch in slices(batches):
             keys, rows = [], []
             for r, text in enumerate(batch.column(1).to_pylist()):
                 _, _, k = marks(text, min_chars)
@@ -218,7 +219,8 @@ def probed(docs: DataFrame, filters: DataFrame | None, min_chars: int, shards: i
         import xxhash
 
         held = None if shared is None else {k: CuckooFilter.loads(v) for k, v in shared.value.items()}
-        for batch in batches:
+        release_caches()
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             found = [marks(t, min_chars) for t in texts]
             k = np.concatenate([x[2] for x in found]) if found else np.empty((0, 2), dtype=np.int64)
@@ -253,7 +255,7 @@ def apply_index(docs: DataFrame, repeated: DataFrame, filters: DataFrame | None,
     def assemble(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             kept, n_gone = [], []
             for text, drop in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 at = set(drop or ())

@@ -28,13 +28,13 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHES
+from .common import CACHES, release_caches, slices
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 UNIGRAM, BPE = 1, 2
 UNK_PENALTY = 10.0
-WORDS, SEGMENTS, PAIRS = 350_000, 200_000, 500_000
+WORDS, SEGMENTS, PAIRS = 250_000, 120_000, 300_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -400,8 +400,9 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", round_trip: bool =
         import numpy as np
         import pyarrow as pa
 
+        release_caches(_LOADED)
         t = transducer(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             packed = [t.packed(x) for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int32)
             values = np.frombuffer(b"".join(packed), dtype=np.uint32).view(np.int32)

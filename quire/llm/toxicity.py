@@ -22,12 +22,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release_caches
+from .common import cut, release_caches, slices
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W_]+")
 MAX_DOCS, MAX_FEATURES = 7_000, 50_000
-WORD_CACHE = 300_000
+WORD_CACHE = 200_000
 
 
 def features(word: str) -> list[str]:
@@ -201,8 +201,9 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        release_caches()
         scorer = Scorer(*shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             out = list(zip(*map(scorer.document, batch.column(batch.schema.get_field_index("text")).to_pylist()))) or [()] * 5
             made = [pa.array(x, t) for x, t in zip(out, (pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *(f.split()[0] for f in fields.split(", "))])
