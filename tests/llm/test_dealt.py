@@ -280,6 +280,33 @@ def test_containment_ensemble(spark, docs, none, tile, monkeypatch):
         assert ensemble.near_duplicates(none).count() == 0
 
 
+def all_links(texts: dict[int, str]) -> set[tuple[int, int]]:
+    """Brute force over all pairs of texts, whatever their sizes."""
+    s = {i: set(ensemble.shingles(t).tolist()) for i, t in texts.items()}
+    return {(i, j) for i in s for j in s if i < j and s[i] and s[j] and len(s[i] & s[j]) >= 0.7 * min(len(s[i]), len(s[j])) - 1e-9}
+
+
+def test_containment_at_any_ratio(spark):
+    r = random.Random(11)
+    texts = {}
+    for i, n in enumerate((3, 5, 8, 20, 40, 90, 150, 400)):
+        quoted = prose(500 + i, n)
+        for k, times in enumerate((2.1, 3, 8, 40)):
+            w = quoted.split()
+            if k % 2 and n > 20:
+                w[r.randrange(n)] = "changed"
+            texts[100 * i + k] = prose(900 + 10 * i + k, int(n * times) // 2) + " " + " ".join(w) + " " + prose(700 + 10 * i + k, int(n * times) // 2)
+        texts[100 * i + 50] = quoted
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    links = all_links(texts)
+    degree = Counter(i for p in links for i in p)
+    got = {x["doc_id"]: x for x in ensemble.near_duplicates(df).collect()}
+    assert len(links) >= 30 and {i: x["n_links"] for i, x in got.items()} == {i: degree[i] for i in texts}
+    assert all(got[100 * i + k]["class_id"] == got[100 * i + 50]["class_id"] for i in range(8) for k in range(4))
+    near = {x["doc_id"]: x["n_links"] for x in ensemble.near_duplicates(df, max_ratio=2.0).collect()}
+    assert sum(near.values()) < sum(degree.values())
+
+
 def test_tuning():
     for ratio in (1.0, 1.4, 2.0):
         b, k = ensemble.tune(0.7, ratio)
