@@ -307,6 +307,22 @@ def test_containment_at_any_ratio(spark):
     assert sum(near.values()) < sum(degree.values())
 
 
+def test_banding_recall_at_ratio_two():
+    """Pairs just at the threshold with the larger text twice as large: both
+    the banding and the sketch have to let them by."""
+    r, found, n = np.random.default_rng(8), 0, 300
+    for _ in range(n):
+        shared, small, large = (r.integers(0, 1 << 63, k, dtype=np.uint64) for k in (140, 60, 260))
+        a, b = np.unique(np.concatenate([shared, small])), np.unique(np.concatenate([shared, large]))
+        x, y = ensemble.minhash(a), ensemble.minhash(b)
+        p, q = (ensemble.partition_of(len(s)) for s in (a, b))
+        keys = lambda m, plans: {k for plan in plans for k in ensemble.band_keys(m, *plan).tolist()}
+        meet = keys(x, {ensemble.plan_of(p, 0.7), ensemble.plan_of(p + 1, 0.7)}) & keys(y, {ensemble.plan_of(q, 0.7), ensemble.plan_of(q + 1, 0.7)})
+        sizes = np.array([float(len(a))]), np.array([float(len(b))])
+        found += bool(meet) and bool(ensemble.plausible(ensemble.sketch(x)[None], ensemble.sketch(y)[None], *sizes, 0.7)[0])
+    assert found >= 0.98 * n
+
+
 def test_tuning():
     for ratio in (1.0, 1.4, 2.0):
         b, k = ensemble.tune(0.7, ratio)
