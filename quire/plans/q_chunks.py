@@ -63,6 +63,15 @@ def union_chunks(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b).unionByName(c).withColumn("token_estimate", char_tokens("text"))
 
 
+@query()
+def union_chunks_whole(spark: SparkSession, d: str) -> DataFrame:
+    """union_chunks over all parts and whole document texts."""
+    a = table(spark, d, "part").select(F.lit(0).alias("source_rank"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("text"))
+    b = tab.typed_rows(rows(spark, d)).select(F.lit(1).alias("source_rank"), F.col("row_id").alias("ord"), F.col("row_text").alias("text"))
+    c = table(spark, d, "documents").select(F.lit(2).alias("source_rank"), F.col("doc_id").alias("ord"), "text")
+    return a.unionByName(b).unionByName(c).withColumn("token_estimate", char_tokens("text"))
+
+
 @query("""WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos, event_type AS ref FROM events) SELECT user_id, array_to_string(list(ref ORDER BY p), ',') AS refs FROM (SELECT user_id, ref, min(pos) AS p FROM r GROUP BY ALL) GROUP BY user_id""")
 def unique_refs(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]).alias("refs"))
