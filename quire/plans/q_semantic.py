@@ -71,10 +71,26 @@ SELECT unit, r.target_type, r.label, r.key, CAST(coalesce(n, 0) AS INT) AS candi
 CASE WHEN coalesce(exact, CASE WHEN n = 1 THEN only_ END) IS NOT NULL THEN NULL WHEN n > 1 THEN 'ambiguous_target' WHEN r.target_type NOT IN (SELECT target_type FROM t) THEN 'missing_target_type' ELSE 'missing_target_label' END AS unresolved_reason
 FROM r LEFT JOIN e ON r.target_type = e.target_type AND r.label = e.label LEFT JOIN k ON r.target_type = k.target_type AND r.key = k.key""")
 def crossref_resolve(spark: SparkSession, d: str) -> DataFrame:
+    return op.resolve(crossref_targets(spark, d), supplier_targets(spark, d), ["unit"])
+
+
+def supplier_targets(spark: SparkSession, d: str) -> DataFrame:
+    """(target_type, label, target)"""
     s = table(spark, d, "supplier")
     label = F.expr("CASE WHEN s_suppkey % 2 = 0 THEN cast(s_suppkey % 40 as string) ELSE concat(s_suppkey % 9 + 1, CASE WHEN s_suppkey % 4 = 1 THEN '.' ELSE '-' END, s_suppkey % 5 + 1) END")
-    targets = s.select(F.when(F.col("s_suppkey") % 2 == 0, "table").otherwise("section").alias("target_type"), label.alias("label"), F.concat(F.lit("block-"), "s_suppkey").alias("target"))
-    return op.resolve(crossref_targets(spark, d), targets, ["unit"])
+    return s.select(F.when(F.col("s_suppkey") % 2 == 0, "table").otherwise("section").alias("target_type"), label.alias("label"), F.concat(F.lit("block-"), "s_suppkey").alias("target"))
+
+
+@query()
+def crossref_targets_all(spark: SparkSession, d: str) -> DataFrame:
+    """crossref_targets over all units and target types."""
+    return op.reference_rows(spec(spark, d), ["unit"]).select("unit", "target_type", "label")
+
+
+@query()
+def crossref_resolve_all(spark: SparkSession, d: str) -> DataFrame:
+    """crossref_resolve over all units and target types."""
+    return op.resolve(crossref_targets_all(spark, d), supplier_targets(spark, d), ["unit"])
 
 
 @query("""SELECT * FROM (VALUES ('0x02', 'hex:2'), ('02h', 'hex:2'), ('2.1', '21'), ('A', 'hex:a'), ('Log Identifier 0Ch', 'hex:c'), ('REQ-12', 'req12'), ('Table', 'table'), ('0x00', 'hex:0')) v(label, key)""")

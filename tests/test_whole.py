@@ -2,9 +2,9 @@
 
 from collections import Counter
 
-from quire.operators import tables
+from quire.operators import semantics, tables
 from quire.plans.catalog import QUERIES
-from quire.plans.corpus_data import rows
+from quire.plans.corpus_data import rows, spec
 from quire.session import table
 
 DATA = "/root/testdata/sf0.001"
@@ -17,3 +17,26 @@ def test_union_has_whole_texts(spark):
     want += [(2, r["doc_id"], r["text"]) for r in table(spark, DATA, "documents").collect()]
     assert got == Counter((a, b, t, None if t is None else (len(t) + 3) // 4) for a, b, t in want)
     assert max(len(t or "") for _, _, t in want) > 80
+
+
+def test_all_references_are_resolved(spark):
+    refs = [(r["unit"], kind, label) for r in spec(spark, DATA).collect() for kind, label, *_ in semantics.references(r["text"])]
+    assert {"section", "table", "figure", "log_page", "opcode", "requirement"} <= {kind for _, kind, _ in refs}
+    assert Counter(map(tuple, QUERIES["crossref_targets_all"](spark, DATA).collect())) == Counter(refs)
+    exact = {}
+    for r in table(spark, DATA, "supplier").collect():
+        k = r["s_suppkey"]
+        label = str(k % 40) if k % 2 == 0 else f"{k % 9 + 1}{'.' if k % 4 == 1 else '-'}{k % 5 + 1}"
+        exact.setdefault(("section" if k % 2 else "table", label), []).append(f"block-{k}")
+    got = QUERIES["crossref_resolve_all"](spark, DATA).collect()
+    assert Counter((r["unit"], r["target_type"], r["label"]) for r in got) == Counter(refs)
+    for r in got:
+        same = exact.get((r["target_type"], r["label"]))
+        if same:
+            assert r["target"] == max(same)
+        elif r["target_type"] not in ("section", "table"):
+            assert (r["target"], r["unresolved_reason"]) == (None, "missing_target_type")
+        else:
+            key = "".join(c for c in r["label"].lower() if c.isalnum())
+            near = {t for (kind, label), found in exact.items() if kind == r["target_type"] and "".join(c for c in label if c.isalnum()) == key for t in found}
+            assert r["candidates"] == len(near) and r["target"] == (min(near) if len(near) == 1 else None)
