@@ -17,6 +17,12 @@ def html_blocks(spark: SparkSession, d: str) -> DataFrame:
     return blocks(table(spark, d, "pages")).filter("kind <> 'paragraph'").select("page_id", "kind", "text")
 
 
+@query()
+def html_blocks_all(spark: SparkSession, d: str) -> DataFrame:
+    """html_blocks with paragraphs and block numbers."""
+    return blocks(table(spark, d, "pages")).select("page_id", "block_no", "kind", "text")
+
+
 @query("""SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL""")
 def event_progress(spark: SparkSession, d: str) -> DataFrame:
     return progress(table(spark, d, "events"))

@@ -1,5 +1,6 @@
 """Queries over whole tables that have no SQL, against brute force."""
 
+import re
 from collections import Counter
 
 from quire.operators import semantics, tables
@@ -40,3 +41,14 @@ def test_all_references_are_resolved(spark):
             key = "".join(c for c in r["label"].lower() if c.isalnum())
             near = {t for (kind, label), found in exact.items() if kind == r["target_type"] and "".join(c for c in label if c.isalnum()) == key for t in found}
             assert r["candidates"] == len(near) and r["target"] == (min(near) if len(near) == 1 else None)
+
+
+def test_html_blocks_of_all_kinds(spark):
+    want = Counter()
+    for r in table(spark, DATA, "pages").collect():
+        for n, m in enumerate(re.finditer(r"<(h[1-6]|p|li)[^>]*>(.*?)</\1>", r["html"] or "", re.I | re.S), 1):
+            text = re.sub(r"\s+", " ", re.sub(r"<[^>]*>", " ", m[2]), flags=re.A).strip(" ")
+            if text:
+                want[r["page_id"], n, {"h": "heading", "p": "paragraph", "l": "list"}[m[1][0].lower()], text] += 1
+    got = Counter((r["page_id"], r["block_no"], r["kind"], r["text"]) for r in QUERIES["html_blocks_all"](spark, DATA).collect())
+    assert got == want and {k[2] for k in want} == {"heading", "paragraph", "list"}
