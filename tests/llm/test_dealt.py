@@ -169,6 +169,12 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score(docs, blank).filter("predicted = 1").count() == 0
 
 
+def test_toxicity_fit_sample():
+    import inspect
+
+    assert toxicity.MAX_DOCS == 12_000 == inspect.signature(toxicity.fit).parameters["max_docs"].default
+
+
 # 5 --------------------------------------------------------------------------
 
 
