@@ -2,13 +2,13 @@
 
 A gear rolling hash over the last 32 bytes cuts texts where its low bits are
 zero, so cuts follow content: an insertion moves the chunks around it and no
-others. Chunks are deduplicated by a 128-bit digest across documents: a chunk
-that several documents hold stays in the smallest doc_id among them. Only runs
+others. Chunks are deduplicated by a 128-bit digest across and within documents: a chunk
+that is repeated stays at its first place in the smallest doc_id. Only runs
 of such chunks of at least `min_span` bytes, or of a whole text, count, so a stock phrase that
 happens to fill a chunk doesn't.
 
 The text never moves. Chunk rows are pre-aggregated to each digest's smallest
-and largest doc_id; only digests of several documents are joined back.
+and largest doc_id; only digests that repeat are joined back.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_CHUNK, MEAN_BITS, MAX_CHUNK, MIN_SPAN = 16, 5, 1024, 96
+MIN_CHUNK, MEAN_BITS, MAX_CHUNK, MIN_SPAN = 16, 5, 1024, 48
 GEAR = np.frombuffer(b"".join(hashlib.sha256(bytes([i])).digest()[:4] for i in range(256)), dtype=np.uint32)
 LOW = -(1 << 63)
 
@@ -64,12 +64,13 @@ def digests(raw: bytes, ends: np.ndarray) -> np.ndarray:
 
 
 def chunks(docs: DataFrame, positions: bool, **kw) -> DataFrame:
-    """(h1, h2, doc_id) a distinct chunk of each row, or with `positions`
-    (h1, h2, doc_id, start, length, n_bytes) every chunk."""
+    """(h1, h2, doc_id, several) a distinct chunk of each row, several if the
+    row repeats it, or with `positions` (h1, h2, doc_id, start, length, n_bytes,
+    again) every chunk, again if the row had it before."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        names = ["h1", "h2", "doc_id"] + ["start", "length", "n_bytes"] * positions
+        names = ["h1", "h2", "doc_id"] + (["start", "length", "n_bytes", "again"] if positions else ["several"])
         for batch in batches:
             held: list[list[np.ndarray]] = [[] for _ in names]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -78,25 +79,27 @@ def chunks(docs: DataFrame, positions: bool, **kw) -> DataFrame:
                 raw = text.encode()
                 ends = cuts(raw, **kw)
                 d = digests(raw, ends)
+                _, at, count = np.unique(d, axis=0, return_index=True, return_counts=True)
                 if positions:
                     starts = np.concatenate([[0], ends[:-1]])
-                    held[3].append(starts.astype(np.int32)), held[4].append((ends - starts).astype(np.int32)), held[5].append(np.full(len(d), len(raw), dtype=np.int32))
+                    held[3].append(starts.astype(np.int32)), held[4].append((ends - starts).astype(np.int32)), held[5].append(np.full(len(d), len(raw), dtype=np.int32)), held[6].append(~np.isin(np.arange(len(d)), at))
                 else:
-                    d = np.unique(d, axis=0) if len(d) > 1 else d
+                    d = d[at]
+                    held[3].append(count > 1)
                 held[0].append(d[:, 0]), held[1].append(d[:, 1]), held[2].append(np.full(len(d), doc_id, dtype=np.int64))
             if held[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in held], names)
 
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)).alias("doc_id"), "text")
-    return ids.mapInArrow(run, "h1 long, h2 long, doc_id long" + ", start int, length int, n_bytes int" * positions)
+    return ids.mapInArrow(run, "h1 long, h2 long, doc_id long" + (", start int, length int, n_bytes int, again boolean" if positions else ", several boolean"))
 
 
 def spans(docs: DataFrame, min_span: int = MIN_SPAN, **kw) -> DataFrame:
     """(doc_id, repeated_bytes, removed_bytes, spans) of documents with
     repeats. `spans` are the byte ranges to remove, in order."""
-    held = chunks(docs, False, **kw).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    repeated = held.filter("first < last").select("h1", "h2", "first")
-    rows = chunks(docs, True, **kw).join(repeated, ["h1", "h2"]).select("doc_id", F.struct("start", "length", "n_bytes", (F.col("doc_id") > F.col("first")).alias("later")).alias("c"))
+    held = chunks(docs, False, **kw).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("several").alias("several"))
+    repeated = held.filter("first < last or several").select("h1", "h2", "first")
+    rows = chunks(docs, True, **kw).join(repeated, ["h1", "h2"]).select("doc_id", F.struct("start", "length", "n_bytes", ((F.col("doc_id") > F.col("first")) | F.col("again")).alias("later")).alias("c"))
     per = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("c")).alias("c"))  # no more than the document's chunks
 
     def runs(c: list, later: bool) -> list[tuple[int, int]]:

@@ -209,6 +209,18 @@ def test_content_chunks(spark, docs, none):
     assert cdc.report(none).count() == 0 and cdc.dedup(docs).count() == len(rows())
 
 
+def test_chunks_of_short_passages_and_within_a_text(spark):
+    texts = []
+    for i in range(150):
+        passage = " ".join(prose(4000 + i, 60).split()[:51])
+        texts += [(2 * i + k, prose(5000 + 2 * i + k, 80) + " " + passage + " " + prose(6000 + 2 * i + k, 80)) for k in (0, 1)]
+    one = prose(9000, 51)
+    texts.append((1000, " ".join([prose(9001, 60), one, prose(9002, 60), one, prose(9003, 60)])))
+    got = {r["doc_id"]: r for r in cdc.report(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert sum(got[i]["repeated_bytes"] > 0 for i in range(300)) >= 0.98 * 300
+    assert got[1000]["repeated_bytes"] > got[1000]["removed_bytes"] > 0
+
+
 # 6 --------------------------------------------------------------------------
 
 
