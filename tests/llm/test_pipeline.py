@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline as pipeline
-from quire.llm import toxicity
+from quire.llm import ensemble, toxicity
 
 from .test_dealt import brute_lines, brute_links, brute_targets, prose
 
@@ -76,6 +76,8 @@ def test_near_stage(stages):
     before, after = stages["near dedup"]
     texts = {r[0]: r[1] or "" for r in before}
     first, links = brute_links(texts)
+    size = {i: len(ensemble.shingles(t)) for i, t in texts.items()}
+    links = {(i, j) for i, j in links if max(size[i], size[j]) <= 2 * min(size[i], size[j])}
     parent = {i: i for i in texts}
 
     def root(i):
@@ -110,3 +112,28 @@ def test_encoding_stage(stages):
     assert Counter((i, s, tuple(ids)) for i, s, ids, _ in after) == want
     digest = lambda rows: hashlib.sha256(repr(sorted(rows, key=repr)).encode()).hexdigest()
     assert digest(stages["run"][1]) == digest(after)
+
+
+AWKWARD = [
+    (None, prose(1, 60), "en", "a", 1), (None, prose(2, 60), None, "a", 1), (None, prose(3, 60), "en", None, None), (None, None, None, None, None), (7, prose(4, 60), "en", "a", 1), (7, prose(5, 60), "en", "a", 1), (7, prose(4, 60), "en", "a", 1),
+    (8, "", "en", "b", 0), (9, prose(6, 30_000), "en", "b", 1), (10, prose(4, 60), "en", "b", 1), (11, "a repeated line of some length\n" + prose(12, 30), "en", "c", 1), (12, "a repeated line of some length\n" + prose(13, 30), "en", "c", 1), (13, "A repeated line of some length\n" + prose(14, 30), "en", "c", 1),
+]
+
+
+def test_awkward_rows(spark, tmp_path):
+    """Null and repeated ids, repeated rows, empty and very long texts, an
+    extra column: every stage gives what its docstring says; then no rows."""
+    d = str(tmp_path)
+    df = spark.createDataFrame([(*r, "x", "x") for r in AWKWARD], DDL + ", size string, ids string").repartition(3)
+    spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    stage = dict(pipeline.STAGES)
+    assert len(stage["toxicity"](spark, df, d).collect()) == len(AWKWARD)
+    lines = stage["line dedup"](spark, df, d).collect()
+    assert len(lines) == len(AWKWARD) and sum("repeated line" in (r["text"] or "").lower() for r in lines) == 1
+    near = stage["near dedup"](spark, df, d).collect()
+    assert Counter(r["text"] or "" for r in near) == Counter({t or "": 1 for _, t, *_ in AWKWARD})
+    assert {r["doc_id"] for r in near if r["text"] == AWKWARD[4][1]} == {7}
+    mixed = stage["mixture"](spark, df, d).collect()
+    assert {r["text"] for r in mixed} <= {r[1] for r in AWKWARD} and max(Counter((r["doc_id"], r["text"]) for r in mixed).values()) <= 4
+    assert len(stage["piece encoding"](spark, df, d).collect()) == len(AWKWARD)
+    assert all(f(spark, df.limit(0), d).count() == 0 for f in stage.values())
