@@ -470,8 +470,27 @@ def test_mixture(spark, docs, none):
 
 
 def test_tilt_solves_the_dual(spark):
-    t = spark.createDataFrame([("a", 1000, 1.0), ("b", 1000, 1999.0), ("c", 0, 0.0)], "source string, source_size long, target double")
-    rate = {r["source"]: r["rate"] for r in mixture.tilt(t).collect()}
-    assert rate["a"] == pytest.approx(0.001) and rate["b"] == pytest.approx(1.999) and rate["c"] == 0
-
-
+    """Against Newton on the same dual, in numpy; rates differ by size."""
+    r = random.Random(4)
+    sizes = {"a": Counter({n: r.randint(1, 40) for n in (1, 3, 10, 60, 400, 20_000)}), "b": Counter({n: r.randint(1, 9) for n in range(1, 200)}), "c": Counter({7: 5}), "d": Counter({n: 2 for n in (5, 90)})}
+    total = {s: sum(n * k for n, k in c.items()) for s, c in sizes.items()}
+    target = {"a": 0.3 * total["a"], "b": 1.7 * total["b"], "c": 0.01 * total["c"], "d": 2.0 * total["d"]}
+    classes = spark.createDataFrame([(s, False, n, k) for s, c in sizes.items() for n, k in c.items()], "s string, s_null boolean, size long, n long")
+    targets = spark.createDataFrame([(s, False, total[s], target[s]) for s in sizes], "s string, s_null boolean, source_size long, target double")
+    lam = {x["s"]: x["lam"] for x in mixture.tilt(targets, classes).collect()}
+    rate = lambda v, n: 2 / (1 + np.exp(-np.clip(v * n, -500, 500)))
+    for s in "abc":
+        n, k = np.array(list(sizes[s])), np.array(list(sizes[s].values()))
+        lo, hi = -1e3, 1e3  # the gradient is monotone: bisection is brute and sure
+        for _ in range(300):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if (n * k * rate(mid, n)).sum() < target[s] else (lo, mid)
+        assert lam[s] == pytest.approx(lo, rel=1e-6)
+    assert lam["d"] == math.inf and rate(lam["a"], 1) > rate(lam["a"], 400) and rate(lam["b"], 1) < rate(lam["b"], 150)
+
+
+def test_mixture_of_repeated_ids_and_clashing_columns(spark):
+    data = [(1, "w " * k, "a", "x") for k in (3, 3, 5, 9)] + [(None, "w w", None, "x"), (None, None, None, "x"), (2, "v " * 400, "b", "x"), (1, "w " * 3, "a", "x")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, rate string")
+    runs = [sorted((repr(tuple(r)) for r in mixture.mix(df.repartition(k), keep=("text", "rate", "size")).collect())) for k in (1, 5)]
+    assert runs[0] == runs[1] and len(runs[0]) == len(data)
