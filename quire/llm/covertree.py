@@ -1,15 +1,21 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Queries and data are both indexed by cover trees: a node has a centre and a
-covering radius, its children are a net of half that radius. For a query node
-and a data node no inner product exceeds
+Queries and data are both indexed by cover trees. A node has one of its points
+for a centre and a covering radius r; its children are a net of it: their
+centres lie further than r / BASE apart (separation), and every point is within
+r / BASE of its child's centre (covering). A node whose net would take more
+than NET centres has no structure to prune by and stays a leaf. For a query
+node and a data node no inner product exceeds
     cq.cd + rq |cd| + rd |cq| + rq rd,
 so the pair is pruned when that lies below the worst kth score so far among
 the node's queries. What isn't pruned ends in a dense product of two leaves.
 
-The data falls into blocks around pivots (large blocks are salted), queries
-into groups; each task searches one group in one block, and the partial top-k
-lists are merged. Scores are integers, computed exactly in doubles.
+The same bound prunes before anything is copied: PIVOTS points of a sample
+split queries and data into cells, whose covering radii are one aggregation.
+A cell of queries meets only the cells of data that may reach the worst of its
+queries' first bounds. Within a cell, queries fall into groups and data into
+blocks of bounded size; a task searches one group in one block, and the partial
+top-k lists are merged. Scores are integers, computed exactly in doubles.
 """
 
 from __future__ import annotations
@@ -23,46 +29,48 @@ from pyspark.sql.window import Window
 
 from .common import cut
 
-LEAF, NET, BLOCK, GROUP, PIVOTS, SEEDS = 128, 48, 8192, 2048, 32, 2048
+LEAF, NET, BASE, BLOCK, GROUP, PIVOTS, SEEDS = 128, 64, 1.3, 8192, 8192, 32, 2048
 
 
 class Node:
     __slots__ = ("rows", "centre", "radius", "norm", "children")
 
-    def __init__(self, x: np.ndarray, rows: np.ndarray, centre: np.ndarray):
-        self.rows, self.centre = rows, centre
-        self.radius = float(np.sqrt(((x[rows] - centre) ** 2).sum(axis=1).max()))
-        self.norm = float(np.sqrt((centre**2).sum()))
+    def __init__(self, x: np.ndarray, rows: np.ndarray, at: int, far: float):
+        self.rows, self.centre, self.radius = rows, x[at], far
+        self.norm = float(np.sqrt((self.centre**2).sum()))
         self.children: list[Node] = []
 
 
 def cover_tree(x: np.ndarray, leaf: int = LEAF) -> Node:
-    """Nested nets: each level's centres lie further apart than half the
-    parent's radius where that takes at most NET of them, else the NET
-    farthest. Equal points end in one leaf."""
-    root = Node(x, np.arange(len(x)), x.mean(axis=0))
-    open_ = [root]
+    """Nodes of at most `leaf` points, of radius 0, or whose net would take
+    more than NET centres are leaves. Nets come by farthest-first traversal."""
+    square = (x**2).sum(axis=1)
+
+    def apart(rows: np.ndarray, at: int) -> np.ndarray:
+        return np.sqrt(np.maximum(square[rows] + square[at] - 2 * (x[rows] @ x[at]), 0.0))
+
+    every = np.arange(len(x))
+    first = int(((x - x.mean(axis=0)) ** 2).sum(axis=1).argmin())
+    root = Node(x, every, first, float(apart(every, first).max()))
+    open_ = [(root, first)]
     while open_:
-        node = open_.pop()
-        if len(node.rows) <= leaf or node.radius == 0:
+        node, at = open_.pop()
+        rows, reach = node.rows, node.radius / BASE
+        if len(rows) <= leaf or node.radius == 0:
             continue
-        p = x[node.rows]
-        at = int(((p - node.centre) ** 2).sum(axis=1).argmin())
-        nearest = ((p - p[at]) ** 2).sum(axis=1)
-        owner, n = np.zeros(len(p), dtype=np.int64), 1
-        limit = max(2, min(NET, len(p) // (leaf // 2)))
-        while n < limit and nearest.max() > (node.radius / 2) ** 2 * (1 if n > 1 else 0):
-            at = int(nearest.argmax())
-            d = ((p - p[at]) ** 2).sum(axis=1)
+        nearest, centres = apart(rows, at), [at]  # a node's centre is the first of its children's
+        owner = np.zeros(len(rows), dtype=np.int64)
+        while nearest.max() > reach and len(centres) <= NET:
+            centres.append(int(rows[nearest.argmax()]))
+            d = apart(rows, centres[-1])
             closer = d < nearest
-            owner[closer], n = n, n + 1
-            nearest = np.minimum(nearest, d)
-        parts = [node.rows[owner == k] for k in range(n)]
-        parts = [r for r in parts if len(r)]
-        if len(parts) < 2:
+            owner[closer], nearest = len(centres) - 1, np.minimum(nearest, d)
+        if len(centres) > NET:
             continue
-        node.children = [Node(x, r, x[r].mean(axis=0)) for r in parts]
-        open_ += node.children
+        for k, c in enumerate(centres):
+            held = owner == k
+            node.children.append(Node(x, rows[held], c, float(nearest[held].max())))
+            open_.append((node.children[-1], c))
     return root
 
 
@@ -113,6 +121,24 @@ def quantised(df: DataFrame, scale: float = 64.0) -> DataFrame:
     return df.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & fine).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
+def pairs_of_cells(queries: DataFrame, data: DataFrame, pivots: dict[int, np.ndarray], k: int) -> list[tuple[int, int, int, int, int]]:
+    """(dim, query cell, data cell, groups, blocks) of the cells that may hold
+    a pair in somebody's top k; both sides have a row a cell here."""
+    of = lambda df, *more: {(r["dim"], r["cell"]): r for r in df.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"), *more).collect()}
+    q, d = of(queries, F.min("floor").alias("floor")), of(data)
+    out = []
+    for (dim, i), a in sorted(q.items()):
+        for (other, j), b in sorted(d.items()):
+            if other != dim:
+                continue
+            p = pivots.get(dim)
+            x, y = (p[i], p[j]) if p is not None else (np.zeros(1), np.zeros(1))
+            top = np.inf if p is None else float(x @ y) + a["radius"] * np.linalg.norm(y) + b["radius"] * np.linalg.norm(x) + a["radius"] * b["radius"] + 1e-6
+            if top >= a["floor"]:
+                out.append((dim, i, j, -(-a["n"] // GROUP), -(-b["n"] // BLOCK)))
+    return out
+
+
 def top_k(df: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0) -> DataFrame:
     """query_id, rank, vec_id, score of each query (vec_id divisible by
     `every`) against every row but those of its own id.
@@ -125,7 +151,7 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0) -> D
     data = quantised(df, scale).withColumn("dim", F.size("v"))
     queries = data.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id", "dim").agg(F.min("v").alias("v"))
     # Pivots and seeds: bounded samples. They steer blocks and first bounds, not results.
-    sample = data.orderBy(F.xxhash64("vec_id", F.lit(5))).limit(SEEDS).collect()
+    sample = data.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(SEEDS).collect()
     pivots: dict[int, np.ndarray] = {}
     seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for dim in {r["dim"] for r in sample}:
@@ -135,22 +161,20 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0) -> D
     shared = spark.sparkContext.broadcast((pivots, seeds))
 
     def place(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+        """The nearest pivot, and the distance from it."""
         for b in batches:
             v = b["v"].to_list()
-            at = np.zeros(len(b), dtype=np.int32)
+            at, away = np.zeros(len(b), dtype=np.int32), np.zeros(len(b))
             for dim, p in shared.value[0].items():
                 m = np.flatnonzero((b["dim"] == dim).to_numpy())
                 if len(m):
                     x = np.stack([v[i] for i in m])
-                    at[m] = ((p**2).sum(axis=1)[None, :] - 2 * x @ p.T).argmin(axis=1)
-            yield b.assign(pivot=at)
-
-    def bounds(batches: Iterator) -> Iterator:
-        """Each query's kth best score among the seeds."""
-        for b in batches:
-            v, floor = b["v"].to_list(), np.full(len(b), -np.inf)
+                    d = (x**2).sum(axis=1)[:, None] + (p**2).sum(axis=1)[None, :] - 2 * x @ p.T
+                    at[m], away[m] = d.argmin(axis=1), np.sqrt(np.maximum(d.min(axis=1), 0.0))
+            if "floor" not in b:
+                yield b.assign(cell=at, away=away)
+                continue
+            floor = np.full(len(b), -np.inf)  # each query's kth best score among the seeds
             for dim, (x, x_ids) in shared.value[1].items():
                 m = np.flatnonzero((b["dim"] == dim).to_numpy())
                 for part in np.array_split(m, max(1, len(m) // 1024)):
@@ -158,26 +182,20 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0) -> D
                         s = np.stack([v[i] for i in part]) @ x.T
                         s[b["vec_id"].to_numpy()[part][:, None] == x_ids[None, :]] = -np.inf
                         floor[part] = np.partition(s, -k, axis=1)[:, -k]
-            yield b.assign(floor=floor)
+            yield b.assign(cell=at, away=away, floor=floor)
 
-    placed = cut(data.mapInPandas(place, "vec_id long, v array<double>, dim int, pivot int"))
-    sizes = placed.groupBy("dim", "pivot").count().collect()  # PIVOTS rows a dimension
-    if not sizes:
+    fields = "vec_id long, dim int, v array<double>"
+    data = cut(data.select("vec_id", "dim", "v").mapInPandas(place, f"{fields}, cell int, away double"))
+    queries = cut(queries.select("vec_id", "dim", "v", F.lit(0.0).alias("floor")).mapInPandas(place, f"{fields}, floor double, cell int, away double"))
+    near = pairs_of_cells(queries, data, pivots, k)
+    if not near:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    salts = {(r["dim"], r["pivot"]): -(-r["count"] // BLOCK) for r in sizes}
-    first = dict(zip(salts, np.concatenate([[0], np.cumsum(list(salts.values()))[:-1]]).tolist()))
-    key = F.concat_ws(":", "dim", "pivot")
-    table = lambda d: F.create_map(*[x for (a, b), n in d.items() for x in (F.lit(f"{a}:{b}"), F.lit(int(n)))])
-    block = F.element_at(table(first), key) + F.pmod(F.xxhash64("vec_id"), F.element_at(table(salts), key))
-    n_queries = queries.count()
-    groups = max(1, -(-n_queries // GROUP))
-    by_dim: dict[int, list[int]] = {}
-    for (dim, pivot), n in salts.items():
-        by_dim.setdefault(dim, []).extend(range(first[dim, pivot], first[dim, pivot] + n))
-    blocks = F.element_at(F.create_map(*[x for dim, b in by_dim.items() for x in (F.lit(dim), F.array(*map(F.lit, b)).cast("array<bigint>"))]), F.col("dim"))
-    asked = queries.mapInPandas(bounds, "vec_id long, dim int, v array<double>, floor double")
-    left = asked.select("vec_id", "v", "floor", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("grp"), F.explode(blocks).alias("block"))
-    right = placed.select("vec_id", "v", block.cast("long").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
+    kept = F.broadcast(spark.createDataFrame(near, "dim int, q_cell int, d_cell int, groups int, blocks int"))  # PIVOTS squared rows a dimension at most
+    salt = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cell = ["dim", "q_cell", "d_cell", "grp", "block"]
+    left = queries.withColumnRenamed("cell", "q_cell").join(kept, ["dim", "q_cell"]).select("vec_id", "v", "floor", "dim", "q_cell", "d_cell", salt("groups").alias("grp"), every("blocks").alias("block"))
+    right = data.withColumnRenamed("cell", "d_cell").join(kept, ["dim", "d_cell"]).select("vec_id", "v", "dim", "q_cell", "d_cell", salt("blocks").alias("block"), every("groups").alias("grp"))
 
     def meet(q, d):
         import pandas as pd
@@ -189,6 +207,6 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0) -> D
         found = search(np.stack(q["v"].to_list()), ids, np.stack(d["v"].to_list()), d["vec_id"].to_numpy(), k, q["floor"].to_numpy())
         return pd.DataFrame({"query_id": np.repeat(ids, [len(x) for x, _ in found]), "vec_id": np.concatenate([x for x, _ in found]), "score": np.concatenate([s for _, s in found]).astype(np.int64)})
 
-    part = left.groupBy("grp", "block").cogroup(right.groupBy("grp", "block")).applyInPandas(meet, "query_id long, vec_id long, score long")
+    part = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(meet, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return part.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -242,6 +242,46 @@ def test_dual_tree(spark):
     assert covertree.top_k(df.limit(0)).count() == 0
 
 
+def test_cover_tree_invariants():
+    """Separation, covering and nesting of centres; every point in one leaf."""
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(0, 1, (400, 5)) * 0.1 + c for c in r.normal(0, 4, (6, 5))] + [np.ones((300, 5))])
+    deep, open_ = 0, [(covertree.cover_tree(x, 16), 0)]
+    assert sorted(np.concatenate([n.rows for n in covertree.leaves(open_[0][0])]).tolist()) == list(range(len(x)))
+    while open_:
+        node, level = open_.pop()
+        deep = max(deep, level)
+        assert (np.linalg.norm(x[node.rows] - node.centre, axis=1) <= node.radius + 1e-6).all()
+        c = np.array([n.centre for n in node.children])
+        if len(c):
+            assert (c == node.centre).all(axis=1).any() and 1 < len(c) <= covertree.NET
+            assert all(n.radius <= node.radius / covertree.BASE + 1e-6 for n in node.children)
+            d = np.linalg.norm(c[:, None] - c[None], axis=2) + np.eye(len(c)) * 1e9
+            assert d.min() > node.radius / covertree.BASE - 1e-6
+        open_ += [(n, level + 1) for n in node.children]
+    assert deep >= 3
+
+
+def test_cells_are_pruned_before_copies(spark):
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.normal(0, 0.02, (300, 6)) + c for c in np.eye(6) * 9])
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    seen = []
+    keep = covertree.pairs_of_cells
+    covertree.pairs_of_cells = lambda *a: seen.append(keep(*a)) or seen[0]
+    try:
+        got = {(t["query_id"], t["rank"]): t["vec_id"] for t in covertree.top_k(df, k=5).collect()}
+    finally:
+        covertree.pairs_of_cells = keep
+    q, d = len({p[1] for p in seen[0]}), len({p[2] for p in seen[0]})
+    assert len(seen[0]) < 0.5 * q * d
+    v = np.floor(64 * x)
+    for i in range(0, len(x), 20):
+        s = v @ v[i]
+        s[i] = -np.inf
+        assert [got[i, k + 1] for k in range(5)] == np.lexsort((np.arange(len(x)), -s))[:5].tolist()
+
+
 def test_bound_is_sound():
     r = np.random.default_rng(4)
     q, d = np.floor(r.normal(0, 20, (300, 6))), np.floor(r.normal(0, 20, (900, 6)))
