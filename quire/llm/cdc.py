@@ -65,15 +65,16 @@ def digests(raw: bytes, ends: np.ndarray) -> np.ndarray:
 
 def chunks(docs: DataFrame, positions: bool, **kw) -> DataFrame:
     """(h1, h2, doc_id, several) a distinct chunk of each row, several if the
-    row repeats it, or with `positions` (h1, h2, doc_id, start, length, n_bytes,
-    again) every chunk, again if the row had it before."""
+    row repeats it, or with `positions` (h1, h2, doc_id, t, start, length,
+    n_bytes, again) every chunk, again if the row had it before; t is a hash of
+    the row's text."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        names = ["h1", "h2", "doc_id"] + (["start", "length", "n_bytes", "again"] if positions else ["several"])
+        names = ["h1", "h2", "doc_id"] + (["t", "start", "length", "n_bytes", "again"] if positions else ["several"])
         for batch in batches:
             held: list[list[np.ndarray]] = [[] for _ in names]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, t, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if not text:
                     continue
                 raw = text.encode()
@@ -82,7 +83,7 @@ def chunks(docs: DataFrame, positions: bool, **kw) -> DataFrame:
                 _, at, count = np.unique(d, axis=0, return_index=True, return_counts=True)
                 if positions:
                     starts = np.concatenate([[0], ends[:-1]])
-                    held[3].append(starts.astype(np.int32)), held[4].append((ends - starts).astype(np.int32)), held[5].append(np.full(len(d), len(raw), dtype=np.int32)), held[6].append(~np.isin(np.arange(len(d)), at))
+                    held[3].append(np.full(len(d), t, dtype=np.int64)), held[4].append(starts.astype(np.int32)), held[5].append((ends - starts).astype(np.int32)), held[6].append(np.full(len(d), len(raw), dtype=np.int32)), held[7].append(~np.isin(np.arange(len(d)), at))
                 else:
                     d = d[at]
                     held[3].append(count > 1)
@@ -90,17 +91,18 @@ def chunks(docs: DataFrame, positions: bool, **kw) -> DataFrame:
             if held[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in held], names)
 
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)).alias("doc_id"), "text")
-    return ids.mapInArrow(run, "h1 long, h2 long, doc_id long" + (", start int, length int, n_bytes int, again boolean" if positions else ", several boolean"))
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)).alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    return ids.mapInArrow(run, "h1 long, h2 long, doc_id long" + (", t long, start int, length int, n_bytes int, again boolean" if positions else ", several boolean"))
 
 
 def spans(docs: DataFrame, min_span: int = MIN_SPAN, **kw) -> DataFrame:
-    """(doc_id, repeated_bytes, removed_bytes, spans) of documents with
-    repeats. `spans` are the byte ranges to remove, in order."""
+    """(doc_id, t, repeated_bytes, removed_bytes, spans) of the texts with
+    repeats, by doc_id and hash of the text. `spans` are the byte ranges to
+    remove, in order."""
     held = chunks(docs, False, **kw).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("several").alias("several"))
     repeated = held.filter("first < last or several").select("h1", "h2", "first")
-    rows = chunks(docs, True, **kw).join(repeated, ["h1", "h2"]).select("doc_id", F.struct("start", "length", "n_bytes", ((F.col("doc_id") > F.col("first")) | F.col("again")).alias("later")).alias("c"))
-    per = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("c")).alias("c"))  # no more than the document's chunks
+    rows = chunks(docs, True, **kw).join(repeated, ["h1", "h2"]).select("doc_id", "t", F.struct("start", "length", "n_bytes", ((F.col("doc_id") > F.col("first")) | F.col("again")).alias("later")).alias("c"))
+    per = rows.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("c")).alias("c"))  # no more than the text's chunks, however often the row is repeated
 
     def runs(c: list, later: bool) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
@@ -119,33 +121,37 @@ def spans(docs: DataFrame, min_span: int = MIN_SPAN, **kw) -> DataFrame:
 
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            ids, again, gone, at = [], [], [], []
-            for doc_id, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids, texts, again, gone, at = [], [], [], [], []
+            for doc_id, t, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 every, later = runs(c, False), runs(c, True)
                 if every:
-                    ids.append(doc_id), again.append(sum(b - a for a, b in every)), gone.append(sum(b - a for a, b in later)), at.append([{"start": a, "end": b} for a, b in later])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(again, pa.int64()), pa.array(gone, pa.int64()), pa.array(at, kind)], ["doc_id", "repeated_bytes", "removed_bytes", "spans"])
+                    ids.append(doc_id), texts.append(t), again.append(sum(b - a for a, b in every)), gone.append(sum(b - a for a, b in later)), at.append([{"start": a, "end": b} for a, b in later])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.int64()), pa.array(again, pa.int64()), pa.array(gone, pa.int64()), pa.array(at, kind)], ["doc_id", "t", "repeated_bytes", "removed_bytes", "spans"])
 
-    return per.mapInArrow(merge, "doc_id long, repeated_bytes long, removed_bytes long, spans array<struct<start:int,end:int>>")
+    return per.mapInArrow(merge, "doc_id long, t long, repeated_bytes long, removed_bytes long, spans array<struct<start:int,end:int>>")
 
 
 def report(docs: DataFrame, min_span: int = MIN_SPAN, **kw) -> DataFrame:
     """doc_id, n_bytes, repeated_bytes, removed_bytes, spans for every row.
 
     Null and empty texts have no chunks. Rows with one doc_id are parts of one
-    document: they don't repeat each other and list their spans together. Null
-    doc_ids are one document, below all others. Extra columns are ignored.
+    document: they don't repeat each other; each lists the spans of its own
+    text. Null doc_ids are one document, below all others. Very long texts are
+    cut whole. Extra columns are ignored; an empty table gives an empty one.
     """
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)).alias("key"), "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)).alias("key"), F.xxhash64("text").alias("t"), "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     found = spans(docs.select("doc_id", "text"), min_span, **kw).withColumnRenamed("doc_id", "key")
     zero = F.lit(0).cast("long")
-    return base.join(found, "key", "left").select("doc_id", "n_bytes", F.coalesce("repeated_bytes", zero).alias("repeated_bytes"), F.coalesce("removed_bytes", zero).alias("removed_bytes"), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
+    return base.join(found, ["key", "t"], "left").select("doc_id", "n_bytes", F.coalesce("repeated_bytes", zero).alias("repeated_bytes"), F.coalesce("removed_bytes", zero).alias("removed_bytes"), F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"))
 
 
 def dedup(docs: DataFrame, min_span: int = MIN_SPAN, **kw) -> DataFrame:
-    """docs with the repeated spans taken out of `text`. Extra columns pass
-    through, but for cdc_key and cdc_spans."""
-    docs = docs.drop("cdc_key", "cdc_spans")
+    """docs with the repeated spans taken out of `text`, row by row as in
+    report(): a row loses the spans of its own text only, also where others
+    share its doc_id. Null and empty texts stay. Extra columns pass through,
+    but for cdc_key, cdc_t and cdc_spans; an empty table gives an empty one."""
+    docs = docs.drop("cdc_key", "cdc_t", "cdc_spans")
+
     @F.pandas_udf("string")
     def strip(text, at):
         import pandas as pd
@@ -161,6 +167,6 @@ def dedup(docs: DataFrame, min_span: int = MIN_SPAN, **kw) -> DataFrame:
 
         return pd.Series([one(t, s) for t, s in zip(text, at)])
 
-    found = spans(docs.select("doc_id", "text"), min_span, **kw).select(F.col("doc_id").alias("cdc_key"), F.col("spans").alias("cdc_spans"))
-    keyed = docs.join(found, F.coalesce(docs["doc_id"].cast("long"), F.lit(LOW)) == F.col("cdc_key"), "left")
+    found = spans(docs.select("doc_id", "text"), min_span, **kw).select(F.col("doc_id").alias("cdc_key"), F.col("t").alias("cdc_t"), F.col("spans").alias("cdc_spans"))
+    keyed = docs.join(found, (F.coalesce(docs["doc_id"].cast("long"), F.lit(LOW)) == F.col("cdc_key")) & (F.xxhash64("text") == F.col("cdc_t")), "left")
     return keyed.select(*[strip("text", "cdc_spans").alias(c) if c == "text" else F.col(c) for c in docs.columns])

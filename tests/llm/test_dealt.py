@@ -221,6 +221,70 @@ def test_chunks_of_short_passages_and_within_a_text(spark):
     assert got[1000]["repeated_bytes"] > got[1000]["removed_bytes"] > 0
 
 
+def naive_chunks(raw: bytes) -> list[bytes]:
+    """The chunker byte by byte: a gear hash of the last 32 bytes."""
+    out, start, h = [], 0, 0
+    for i, b in enumerate(raw):
+        h = (h * 2 + int(cdc.GEAR[b])) & 0xFFFFFFFF
+        end = i + 1
+        whole = end == len(raw) or raw[end] & 0xC0 != 0x80
+        full = end - start == cdc.MAX_CHUNK
+        if full and not whole:
+            while raw[end] & 0xC0 == 0x80:
+                end -= 1
+        if full or whole and h >> (32 - cdc.MEAN_BITS) == 0 and end - start >= cdc.MIN_CHUNK or i + 1 == len(raw):
+            out.append(raw[start:end])
+            start = end
+            if end < i + 1 and i + 1 == len(raw):
+                out.append(raw[end:])
+    return out
+
+
+def test_chunks_against_brute_force(spark, docs):
+    """The whole query by a naive chunker and plain dictionaries."""
+    texts = [(r[0], r[1]) for r in rows()] + [(300 + i, prose(i % 5, 80) + " " + prose(800 + i, 40)) for i in range(12)] + [(300, prose(3, 300)), (None, prose(0, 80)), (None, "é" * 3000)]
+    for _, t in texts:
+        raw = (t or "").encode()
+        ends = cdc.cuts(raw).tolist()
+        assert [raw[a:b] for a, b in zip([0, *ends], ends)] == naive_chunks(raw)
+    held = defaultdict(lambda: [set(), False])
+    low = lambda i: -1 if i is None else i
+    for i, t in texts:
+        for c, n in Counter(naive_chunks((t or "").encode())).items():
+            held[c][0].add(low(i))
+            held[c][1] |= n > 1
+    want = []
+    for i, t in texts:
+        raw, at, seen, marks = (t or "").encode(), 0, set(), []
+        for c in naive_chunks(raw):
+            if len(held[c][0]) > 1 or held[c][1]:
+                marks.append((at, at + len(c), low(i) > min(held[c][0]) or c in seen))
+            seen.add(c)
+            at += len(c)
+
+        def total(spans):
+            runs = []
+            for a, b, _ in spans:
+                if runs and runs[-1][1] == a:
+                    runs[-1][1] = b
+                else:
+                    runs.append([a, b])
+            return sum(b - a for a, b in runs if b - a >= cdc.MIN_SPAN or (a, b) == (0, len(raw)))
+
+        want.append((i, len(raw), total(marks), total([m for m in marks if m[2]])))
+    got = [tuple(r)[:4] for r in cdc.report(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and any(x[3] for x in want)
+
+
+def test_chunk_dedup_keeps_rows_of_one_id_apart(spark):
+    shared, a, b, c = prose(1, 90), prose(2, 90), prose(3, 90), prose(4, 90)
+    df = spark.createDataFrame([(1, shared), (2, a + " " + shared), (2, shared + " " + b), (None, c), (None, b), (2, a + " " + shared)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["text"]) for r in cdc.dedup(df).collect()), key=repr)
+    left = [t for i, t in got if i == 2]
+    assert (1, shared) in got and (None, c) in got and (None, b) in got and left.count(left[0]) + left.count(left[1]) + left.count(left[2]) == 5
+    assert sum(a[:400] in t for t in left) == 2 and all(shared not in t for t in left)
+
+
 # 6 --------------------------------------------------------------------------
 
 
