@@ -4,8 +4,9 @@ A line's key is its trimmed, ASCII-lower-cased text, held as a 128-bit hash.
 The exact tables say how many documents hold a key and which is the largest;
 they decide. One cuckoo filter a shard holds the keys that are repeated; it
 lets documents without any repeated line (most of them) pass without a join
-or a shuffle of their text. Filters forget keys as well as they learn them, so
-documents can be inserted and deleted and every decision follows.
+or a shuffle of their text. Filters forget keys as well as they learn them, and counts change by the
+keys of what comes or goes, so documents can be inserted and deleted and every
+decision follows.
 """
 
 from __future__ import annotations
@@ -159,7 +160,12 @@ def build_filters(keys: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 class LineIndex:
     """Exact reference tables and their filters, kept under insertions and
-    deletions of documents. Every state is a set of lineage-free tables."""
+    deletions of documents. Every state is a set of lineage-free tables; a
+    change recounts the keys of the documents that come or go, and no others.
+
+    Rows are documents, null doc_ids too (as one id below all others); deleting
+    an id deletes all its rows, deleting an unknown one nothing.
+    """
 
     def __init__(self, posts: DataFrame, counts: DataFrame, filters: DataFrame, min_chars: int, min_docs: int, shards: int):
         self.posts, self.counts, self.filters = posts, counts, filters
@@ -171,14 +177,16 @@ class LineIndex:
         counts = cut(reference_counts(posts))
         return cls(posts, counts, cut(build_filters(counts.filter(F.col("n") >= min_docs), shards)), min_chars, min_docs, shards)
 
-    def _moved(self, posts: DataFrame) -> LineIndex:
-        posts = cut(posts)
-        counts = cut(reference_counts(posts))
-        is_in = lambda t: t.filter(F.col("n") >= self.min_docs).select(shard_of(self.shards).alias("shard"), "a", "b")
-        old, new = is_in(self.counts), is_in(counts)
-        delta = new.exceptAll(old).withColumn("add", F.lit(True)).unionAll(old.exceptAll(new).withColumn("add", F.lit(False)))
+    def _moved(self, posts: DataFrame, touched: DataFrame) -> LineIndex:
+        """`touched`: (a, b, n, last) anew of the keys that changed, n = 0 if
+        no document holds the key any more."""
+        key = ["a", "b"]
+        old = self.counts.join(touched.select(*key), key, "left_semi").select(*key, F.col("n").alias("was"))
+        moved = touched.join(old, key, "left")
+        flips = moved.select(shard_of(self.shards).alias("shard"), *key, (F.col("n") >= self.min_docs).alias("add"), (F.coalesce("was", F.lit(0)) >= self.min_docs).alias("had")).filter("add <> had")
+        counts = cut(self.counts.join(touched.select(*key), key, "left_anti").select(*key, "n", "last").unionByName(touched.filter("n > 0")))
 
-        def change(key, delta_pdf, filter_pdf):
+        def change(group, delta_pdf, filter_pdf):
             import pandas as pd
 
             f = CuckooFilter.loads(filter_pdf["filter"].iloc[0]) if len(filter_pdf) else CuckooFilter(4)
@@ -188,19 +196,29 @@ class LineIndex:
                     full |= not f.insert(int(a), int(b))
                 else:
                     f.delete(int(a), int(b))
-            return pd.DataFrame({"shard": [int(key[0])], "filter": [f.dumps()], "full": [full]})
+            return pd.DataFrame({"shard": [int(group[0])], "filter": [f.dumps()], "full": [full]})
 
-        changed = cut(delta.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(change, "shard int, filter binary, full boolean"))
+        changed = cut(flips.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(change, "shard int, filter binary, full boolean"))
         # Shards whose filter ran full are built anew, larger.
-        again = build_filters(counts.filter(F.col("n") >= self.min_docs).join(F.broadcast(changed.filter("full").select(F.col("shard").alias("s"))), shard_of(self.shards) == F.col("s"), "left_semi"), self.shards)
+        again = build_filters(counts.filter(F.col("n") >= self.min_docs).withColumn("shard", shard_of(self.shards)).join(changed.filter("full").select("shard"), "shard", "left_semi"), self.shards)
         filters = cut(changed.filter("not full").select("shard", "filter").unionAll(again))
         return LineIndex(posts, counts, filters, self.min_chars, self.min_docs, self.shards)
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        return self._moved(self.posts.unionAll(postings(docs, self.min_chars)))
+        new = cut(postings(docs, self.min_chars))
+        delta = reference_counts(new).withColumnsRenamed({"n": "more", "last": "latest"})
+        held = delta.join(self.counts, ["a", "b"], "left")
+        touched = cut(held.select("a", "b", (F.coalesce("n", F.lit(0)) + F.col("more")).alias("n"), F.greatest("last", "latest").alias("last")))
+        return self._moved(self.posts.unionAll(new), touched)
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
-        return self._moved(self.posts.join(doc_ids.select("doc_id"), "doc_id", "left_anti").select("a", "b", "doc_id"))
+        ids = doc_ids.select(F.col("doc_id").cast("long").alias("gone_id")).distinct()
+        same = self.posts["doc_id"].eqNullSafe(ids["gone_id"])
+        keys = self.posts.join(ids, same, "left_semi").select("a", "b").distinct()
+        posts = cut(self.posts.join(ids, same, "left_anti"))
+        left = reference_counts(posts.join(keys, ["a", "b"], "left_semi"))
+        touched = cut(keys.join(left, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"), "last"))
+        return self._moved(posts, touched)
 
     def apply(self, docs: DataFrame) -> DataFrame:
         return apply_index(docs, self.counts.filter(F.col("n") >= self.min_docs).select("a", "b", "last"), self.filters, self.min_chars, self.shards)
@@ -243,7 +261,12 @@ def probed(docs: DataFrame, filters: DataFrame | None, min_chars: int, shards: i
 
 def apply_index(docs: DataFrame, repeated: DataFrame, filters: DataFrame | None, min_chars: int = MIN_CHARS, shards: int = SHARDS) -> DataFrame:
     """Every column of docs, with `kept` (the text that stays), `n_lines` and
-    `n_dropped`. A repeated line stays only in the document `last`."""
+    `n_dropped`. A repeated line stays only in the document `last`. Filters of
+    up to FILTER_BYTES in all are broadcast and spare the other lines a
+    shuffle; without them all lines that count meet the exact table."""
+    docs = docs.drop("kept", "n_lines", "n_dropped", *WORK)
+    if filters is not None and filters.agg(F.coalesce(F.sum(F.octet_length("filter")), F.lit(0))).first()[0] > FILTER_BYTES:
+        filters = None  # too large to broadcast: every counting line goes to the exact table
     names = docs.columns
     seen = probed(docs, filters, min_chars, shards)
     clean = seen.filter(F.size("hits") == 0).select(*names, F.coalesce("text", F.lit("")).alias("kept"), "n_lines", F.lit(0).cast("long").alias("n_dropped"))
@@ -278,6 +301,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     """
     docs = docs.drop("kept", "n_lines", "n_dropped", *WORK)
     repeated = cut(reference_counts(postings(docs, min_chars)).filter(F.col("n") >= min_docs).select("a", "b", "last"))
-    filters = cut(build_filters(repeated, shards))
-    small = filters.agg(F.coalesce(F.sum(F.octet_length("filter")), F.lit(0))).first()[0] <= FILTER_BYTES
-    return apply_index(docs, repeated, filters if small else None, min_chars, shards)
+    # 16-bit fingerprints in tables of a power of two: at most 5 bytes a key.
+    small = 5 * repeated.count() <= FILTER_BYTES
+    return apply_index(docs, repeated, cut(build_filters(repeated, shards)) if small else None, min_chars, shards)

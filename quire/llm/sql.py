@@ -25,15 +25,15 @@ SELECT page_id, warc_type, {urn('warc_type', 'refers_to', 'source_digest')} AS r
 
 
 _ASCII = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-LINES = f"""WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-l AS (SELECT doc_id, CAST(i AS BIGINT) AS i, lines[i] AS line, translate(trim(lines[i], {_ASCII}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM s)),
-rep AS (SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+LINES = f"""WITH s AS (SELECT row_number() OVER () AS row_id, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT row_id, doc_id, CAST(i AS BIGINT) AS i, lines[i] AS line, translate(trim(lines[i], {_ASCII}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM s)),
+rep AS (SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT row_id) >= 3),
 m AS (SELECT l.*, rep.last IS NOT NULL AND l.doc_id < rep.last AS gone FROM l LEFT JOIN rep USING (key))
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id"""
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY row_id, doc_id"""
 
 TOP = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 20"""
 
-SQL = {"op1_warc_derivatives": _warc(), "op6_dual_tree": TOP, "op8_line_dedup": LINES}
+SQL = {"op1_warc_derivatives": _warc(), "op6_dual_tree": TOP, "op8_line_dedup": LINES, "line_index_incremental": LINES}

@@ -510,6 +510,20 @@ def test_line_index_is_reversible(spark):
     assert sorted(map(tuple, back.counts.collect())) == sorted(map(tuple, index.counts.collect()))
 
 
+def test_line_index_awkward_rows(spark, docs, none):
+    """Null and repeated ids come and go; an empty insertion or deletion, and
+    an index of nothing."""
+    pick = lambda df: sorted(((r["doc_id"], r["n_dropped"], r["kept"]) for r in df.collect()), key=repr)
+    index = linededup.LineIndex.of(docs, shards=4)
+    assert pick(index.apply(docs)) == pick(linededup.dedup_lines(docs))
+    less = index.delete(docs.filter("doc_id is null or doc_id = 2").select("doc_id"))
+    assert sorted(map(tuple, less.counts.collect())) == sorted(map(tuple, linededup.reference_counts(linededup.postings(docs.filter("doc_id <> 2"))).collect()))
+    back = less.insert(docs.filter("doc_id is null or doc_id = 2"))
+    assert sorted(map(tuple, back.counts.collect()), key=repr) == sorted(map(tuple, index.counts.collect()), key=repr)
+    same = linededup.LineIndex.of(none, shards=4).insert(none).delete(none.select("doc_id")).insert(docs)
+    assert pick(same.apply(docs)) == pick(index.apply(docs))
+
+
 def test_cuckoo_filter():
     r = np.random.default_rng(1)
     keys = r.integers(-(1 << 62), 1 << 62, (5000, 2))
