@@ -62,6 +62,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def spotsigs_near_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The similarity join of op2's fingerprints over all documents."""
+    return spotsigs.near_classes(table(spark, sf_dir, "documents"))
+
+
 def line_index_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of op8, reached by a first batch, an insertion of the others,
     a deletion of the first batch and its insertion anew."""
@@ -72,4 +77,4 @@ def line_index_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.apply(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_spotsigs, op3_piece_transducer, op4_toxicity_mil, op5_content_chunks, op6_dual_tree, op7_containment_ensemble, op8_line_dedup, op9_token_counts, op10_entropy_mixture, line_index_incremental)}
+QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_spotsigs, op3_piece_transducer, op4_toxicity_mil, op5_content_chunks, op6_dual_tree, op7_containment_ensemble, op8_line_dedup, op9_token_counts, op10_entropy_mixture, line_index_incremental, spotsigs_near_classes)}

@@ -10,8 +10,9 @@ takes its first word for one.
 
 Similar documents are found over representatives of equal fingerprints:
 documents are partitioned by set length, only partitions whose lengths allow
-the threshold meet, a document offers just its rarest signatures (any pair at
-the threshold shares one of them), and the Jaccard likeness is then exact.
+the threshold meet, a document offers just a prefix of its signatures, common
+ones last (any pair at the threshold shares one of them), places in the prefix
+prune further, and the Jaccard likeness is then exact.
 """
 
 from __future__ import annotations
@@ -24,9 +25,8 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import CACHES, cut, partitions
+from .common import CACHES, partitions, stored
 
 FUNCTION_WORDS = frozenset(
     "a an and are as at be but by for from had has have he her his i in is it its not of on or our she so than that the their them then there these they this to was we were what when which who will with you "
@@ -38,6 +38,7 @@ WORD = re.compile(r"\w+")
 CHAIN = 2
 ANCHOR_EVERY = 8
 WORD_CACHE = 250_000
+SAMPLE_ONE_IN, HOT_SIGNATURES = 32, 1 << 16
 
 
 class _Words(dict):
@@ -63,13 +64,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(text: str | None) -> np.ndarray:
-    """Sorted distinct 32-bit signatures of a whole text; none for null and
+    """Sorted distinct 64-bit signatures of a whole text; none for null and
     empty ones. A text without words is one signature of its characters."""
     if not text:
-        return np.empty(0, dtype=np.uint32)
+        return np.empty(0, dtype=np.uint64)
     words = WORD.findall(text.lower())
     if not words:
-        return np.array([int.from_bytes(hashlib.sha256(text.encode()).digest()[:4], "little")], dtype=np.uint32)
+        return np.array([int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "little")], dtype=np.uint64)
     h = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
     content = (h & np.uint64(1)) == 0
     anchor = ~content | ((h >> np.uint64(8)) % np.uint64(ANCHOR_EVERY) == 0)
@@ -82,15 +83,15 @@ def signatures(text: str | None) -> np.ndarray:
         s = _mix(h[at])
         for k in range(CHAIN):
             s = _mix(s * np.uint64(0x9E3779B97F4A7C15) + chain[following + k])
-    return np.unique((s >> np.uint64(16)).astype(np.uint32))
+    return np.unique(s)
 
 
 def fingerprint(sigs: np.ndarray) -> str:
-    return base64.b64encode(sigs.astype("<u4").tobytes()).decode()
+    return base64.b64encode(sigs.astype("<u8").tobytes()).decode()
 
 
 def unpack(print_: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(print_), dtype="<u4")
+    return np.frombuffer(base64.b64decode(print_), dtype="<u8")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -186,32 +187,79 @@ def edit_study(docs: DataFrame) -> DataFrame:
 def near_pairs(docs: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(pairs of classes at or above the threshold, membership).
 
-    Membership has (doc_id, class_id): documents of one fingerprint are a
-    class named by its smallest doc_id. Pairs are (a, b, likeness), a < b.
-    Texts without signatures form one class that pairs with none.
+    Membership has (doc_id, class_id): rows of one fingerprint are a class
+    named by its smallest doc_id. Pairs are (a, b, likeness), a and b the
+    numbers of classes by fingerprint hash, with their class_ids id_a, id_b.
+    Texts without signatures form one class that pairs with none. Null texts
+    count as empty, null doc_ids as one below all others; repeated rows are of
+    one class; an empty table gives empty ones. Extra columns are ignored.
+
+    A pair at the threshold has lengths within it, and shares one of the first
+    n - ceil(threshold n) + 1 signatures of each side in any common order: here
+    by hash, common signatures last. So only partitions of set length that
+    allow the threshold meet, and there only rows with a signature of that
+    prefix; a signature's place in both sets bounds what they may share, which
+    prunes the pair before its sets are sent. The join on (signature, partition)
+    is split by Spark where a signature is hot.
     """
-    prints = fingerprints(docs.select("doc_id", "text")).select("doc_id", "fingerprint", "n_signatures")
-    classes = cut(prints.groupBy("fingerprint", "n_signatures").agg(F.min("doc_id").alias("class_id")))
-    members = prints.join(classes.select("fingerprint", "class_id"), "fingerprint").select("doc_id", "class_id")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    prints = stored(fingerprints(docs.select(key.alias("doc_id"), "text")).select("doc_id", "fingerprint", "n_signatures", F.xxhash64("fingerprint").alias("c")))
+    classes = stored(prints.groupBy("c").agg(F.first("fingerprint").alias("fingerprint"), F.first("n_signatures").alias("n"), F.min("doc_id").alias("class_id")))
+    back = F.when(F.col("class_id") != -(1 << 63), F.col("class_id"))
+    members = prints.join(classes.select("c", "class_id"), "c").select(F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")).alias("doc_id"), back.alias("class_id"), "c")
+    common = stored(_common(classes))
+    hot = {r["sig"] for r in common.collect()}  # HOT_SIGNATURES at most
+    shared = docs.sparkSession.sparkContext.broadcast(np.array(sorted(hot), dtype=np.int64))
+
+    def prefixes(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    @F.pandas_udf("array<long>")
-    def sets(batch):
-        return batch.map(lambda x: unpack(x).astype(np.int64))
-
-    base = classes.filter("n_signatures > 0").withColumn("sigs", sets("fingerprint")).select("class_id", F.col("n_signatures").alias("n"), "sigs")
-    every = base.select("class_id", "n", F.explode("sigs").alias("sig"))
-    counted = every.join(every.groupBy("sig").agg(F.count("*").alias("df")), "sig")
-    rare = Window.partitionBy("class_id").orderBy("df", "sig")
-    need = F.col("n") - F.ceil(F.col("n") * threshold) + 1
-    prefix = counted.withColumn("k", F.row_number().over(rare)).filter(F.col("k") <= need)
+        late = shared.value
+        for batch in batches:
+            c, s, at, n = [], [], [], []
+            for name, print_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sigs = unpack(print_).view(np.int64)
+                sigs = sigs[np.lexsort((sigs, np.isin(sigs, late)))]
+                m = len(sigs) - int(np.ceil(len(sigs) * threshold - 1e-9)) + 1
+                c.append(np.full(m, name)), s.append(sigs[:m]), at.append(np.arange(m)), n.append(np.full(m, len(sigs)))
+            if c:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip((c, s, at, n), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["c", "sig", "at", "n"])
+
+    some = classes.filter("n > 0")
+    prefix = some.select("c", "fingerprint").mapInArrow(prefixes, "c long, sig long, at int, n int")
     # Lengths within one factor of 1/threshold are of one partition or of neighbours.
-    part = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1 / threshold)))
-    left = prefix.select("sig", F.col("class_id").alias("a"), F.col("n").alias("n_a"), F.explode(F.array(part, part + 1)).alias("part"))
-    right = prefix.select("sig", F.col("class_id").alias("b"), F.col("n").alias("n_b"), part.alias("part"))
-    fits = (F.col("n_a") >= F.col("n_b") * threshold) & (F.col("n_b") >= F.col("n_a") * threshold)
+    part = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1 / threshold)) + 1e-9)
+    left = prefix.select("sig", F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.explode(F.array(part, part + 1)).alias("part"))
+    right = prefix.select("sig", F.col("c").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), part.alias("part"))
     order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    met = left.join(right, ["sig", "part"]).filter(fits & order).select("a", "b").distinct()
-    both = met.join(base.select(F.col("class_id").alias("a"), F.col("sigs").alias("s_a")), "a").join(base.select(F.col("class_id").alias("b"), F.col("sigs").alias("s_b")), "b")
-    shared = F.size(F.array_intersect("s_a", "s_b"))
-    scored = both.withColumn("likeness", shared / (F.size("s_a") + F.size("s_b") - shared)).filter(F.col("likeness") >= threshold)
-    return scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness"), members
+    most = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))  # shared from here on; at the first shared one: in all
+    first = left.join(right, ["sig", "part"]).filter(order & (F.col("n_a") >= F.col("n_b") * threshold - 1e-9)).groupBy("a", "b", "n_a", "n_b").agg(F.max(most).alias("most"))
+    met = first.filter(F.col("most") >= threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9).select("a", "b")
+    side = lambda c: classes.select(F.col("c").alias(c), F.col("fingerprint").alias(f"f_{c}"), back.alias(f"id_{c}"))
+    both = met.join(side("a"), "a").join(side("b"), "b")
+
+    @F.pandas_udf("double")
+    def likeness(x, y):
+        import pandas as pd
+
+        return pd.Series([jaccard(unpack(p), unpack(q)) for p, q in zip(x, y)])
+
+    return both.withColumn("likeness", likeness("f_a", "f_b")).filter(F.col("likeness") >= threshold - 1e-12).select("a", "b", "id_a", "id_b", "likeness"), members
+
+
+def _common(classes: DataFrame) -> DataFrame:
+    """The signatures that most classes of a sample have; they only order."""
+    @F.pandas_udf("array<long>")
+    def sets(batch):
+        return batch.map(lambda x: unpack(x).view(np.int64))
+
+    some = classes.filter(F.pmod("c", F.lit(SAMPLE_ONE_IN)) == 0).select(F.explode(sets("fingerprint")).alias("sig"))
+    return some.groupBy("sig").count().filter("count > 1").orderBy(F.col("count").desc(), "sig").limit(HOT_SIGNATURES).select("sig")
+
+
+def near_classes(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """doc_id, class_id, n_near for each row: n_near counts the other classes
+    whose likeness reaches the threshold. Rows as in near_pairs."""
+    pairs, members = near_pairs(docs, threshold)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_near"))
+    return members.join(links, "c", "left").select("doc_id", "class_id", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))

@@ -60,7 +60,11 @@ class Splitter:
         self.path, self.library = tokenizer_path, None
         self.find = regex.compile(SPLIT).findall
         with open(tokenizer_path, encoding="utf-8") as f:
-            self.added = [x["content"] for x in json.load(f)["added_tokens"]]
+            made = json.load(f)
+        pre = made.get("pre_tokenizer") or {}
+        if made.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+            raise ValueError("only tokenisers with a plain byte-level split have this form")
+        self.added = [x["content"] for x in made["added_tokens"]]
         self.cut_at = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
 
     def _by_library(self, part: str) -> list[str]:
@@ -155,12 +159,14 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, head:
     """
     spark = docs.sparkSession
     words = stored(dictionary(docs, tokenizer_path))
+    # The head is what is at least as frequent as a power of two that leaves it within `head`.
+    octave = F.floor(F.log2(F.col("freq").cast("double"))).cast("int")
     floor, room = 1 << 62, head
-    for r in words.groupBy("freq").count().filter("freq > 1").orderBy(F.col("freq").desc()).collect():  # as many rows as there are distinct frequencies
+    for r in words.groupBy(octave.alias("octave")).count().orderBy(F.col("octave").desc()).collect():  # 63 rows at most
         room -= r["count"]
         if room < 0:
             break
-        floor = r["freq"]
+        floor = 1 << r["octave"]
     top = words.filter(F.col("freq") >= floor).select("pretoken", "pieces").toArrow()  # at most `head` rows
     known = spark.sparkContext.broadcast((top.column(0).to_pylist(), top.column(1).to_pylist()))
 

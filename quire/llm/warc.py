@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import gzip
 import io
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -21,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CAPTURED = "2024-01-01T00:00:00Z"
+CREATED = "2024-01-02T00:00:00Z"
+DERIVED = ("warc_type", "record_id", "refers_to", "refers_to_target_uri", "refers_to_date", "source_digest", "source_headers", "content_type", "content_length", "block_digest", "block")
 RESPONSE_COLUMNS = ("record_id", "target_uri", "warc_date", "http_status", "http_headers", "content_type", "body", "payload_digest")
 
 # RE2 and java.util.regex read these alike.
@@ -85,8 +86,12 @@ def derivatives(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     `responses` has RESPONSE_COLUMNS (others only pass through when named in
     `keep`). text/html is stripped, other text/* is taken as it is; any other
     type gets a metadata record only. Null bodies count as empty, null types as
-    text/html. An empty table gives an empty one.
+    text/html. Of `keep`, names of the result and of RESPONSE_COLUMNS are left
+    out. Repeated rows give repeated records, very long bodies are taken whole,
+    an empty table gives an empty one. Of entities the named ones of ENTITIES
+    and the numeric ones listed there are decoded.
     """
+    keep = tuple(c for c in dict.fromkeys(keep) if c not in DERIVED and c not in RESPONSE_COLUMNS)
     kind = F.lower(F.coalesce("content_type", F.lit("text/html")))
     body = F.coalesce("body", F.lit(""))
     text = F.when(kind.startswith("text/html") | kind.startswith("application/xhtml"), html_text(body)).when(kind.startswith("text/"), body)
@@ -117,44 +122,63 @@ def derivatives(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def record_bytes(df: DataFrame) -> DataFrame:
-    """derivatives() rows as serialised WARC/1.1 records, in column `record`."""
+def record_bytes(df: DataFrame, created: str = CREATED) -> DataFrame:
+    """derivatives() rows as serialised WARC/1.1 records, in column `record`.
+
+    WARC-Date is the derivative's own, `created`; what belongs to the source
+    goes under names of its own: WARC-Refers-To, -Target-URI and -Date, and the
+    extension fields X-Source-Payload-Digest and X-Source-Headers (base64, so
+    that line breaks stay). Null fields are left out."""
     def header(name: str, value: Column) -> Column:
         return F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n")), F.lit(""))
 
     head = F.concat(
-        F.lit("WARC/1.1\r\n"), header("WARC-Type", F.col("warc_type")), header("WARC-Record-ID", F.col("record_id")), header("WARC-Refers-To", F.col("refers_to")), header("WARC-Target-URI", F.col("refers_to_target_uri")),
-        header("WARC-Date", F.col("refers_to_date")), header("WARC-Payload-Digest", F.col("source_digest")), header("WARC-Block-Digest", F.col("block_digest")), header("Content-Type", F.col("content_type")),
+        F.lit("WARC/1.1\r\n"), header("WARC-Type", F.col("warc_type")), header("WARC-Record-ID", F.col("record_id")), header("WARC-Date", F.lit(created)), header("WARC-Target-URI", F.col("refers_to_target_uri")),
+        header("WARC-Refers-To", F.col("refers_to")), header("WARC-Refers-To-Target-URI", F.col("refers_to_target_uri")), header("WARC-Refers-To-Date", F.col("refers_to_date")), header("WARC-Block-Digest", F.col("block_digest")),
+        header("X-Source-Payload-Digest", F.col("source_digest")), header("X-Source-Headers", F.replace(F.base64(F.encode("source_headers", "UTF-8")), F.lit("\r\n"), F.lit(""))), header("Content-Type", F.col("content_type")),
         header("Content-Length", F.col("content_length")), F.lit("\r\n"),
     )
     return df.withColumn("record", F.encode(F.concat(head, F.col("block"), F.lit("\r\n\r\n")), "UTF-8"))
 
 
+def _at(path: str):
+    """File system and path of a URI, or of a path in a shared mount."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (fs.LocalFileSystem(), path)
+
+
 def write_warc(df: DataFrame, folder: str) -> DataFrame:
-    """Write derivatives as one .warc.gz a task into a folder every executor
-    mounts; returns (file, records). A file is named after its task and put in
-    place by a rename, so a retried task replaces its own file."""
+    """Write derivatives as one .warc.gz a task into a folder that all
+    executors share (a URI, or a mounted path); returns (file, records). A file
+    is named after its task and put in place by a rename, so a retried task
+    replaces its own file. Null and empty blocks are records of length 0; an
+    empty table gives files without records."""
     def write(batches: Iterator) -> Iterator:
         import pandas as pd
         from pyspark import TaskContext
 
-        os.makedirs(folder, exist_ok=True)
-        path, n = os.path.join(folder, f"part-{TaskContext.get().partitionId():05d}.warc.gz"), 0
+        where, root = _at(folder)
+        where.create_dir(root, recursive=True)
+        path, n = f"{root}/part-{TaskContext.get().partitionId():05d}.warc.gz", 0
         tmp = f"{path}.{uuid.uuid4().hex}.tmp"
-        with open(tmp, "wb") as f:
+        with where.open_output_stream(tmp, compression=None) as f:
             for batch in batches:
                 for record in batch["record"]:
                     f.write(gzip.compress(bytes(record), 6, mtime=0))
                     n += 1
-        os.replace(tmp, path)
+        where.move(tmp, path)
         yield pd.DataFrame({"file": [path], "records": [n]})
 
     return record_bytes(df).select("record").mapInPandas(write, "file string, records long")
 
 
-def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record; gzip members or plain."""
-    f = gzip.open(io.BytesIO(raw)) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw)
+def parse_warc(raw) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record, from bytes or a stream of gzip
+    members or plain records; one record is held at a time."""
+    f = io.BufferedReader(io.BytesIO(raw) if isinstance(raw, bytes) else raw)
+    if f.peek(2)[:2] == b"\x1f\x8b":
+        f = gzip.open(f)
     while line := f.readline():
         if not line.strip():
             continue
@@ -168,14 +192,24 @@ def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files under `path`: warc_type, headers, block."""
+    """Records of the WARC files under `path`: warc_type, headers, block. A
+    task streams its files, however large; files without records give no rows."""
     def parse(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for batch in batches:
-            for raw in batch["content"]:
-                rows = [(h.get("WARC-Type"), h, b) for h, b in parse_warc(bytes(raw))]
-                yield pd.DataFrame(rows, columns=["warc_type", "headers", "block"])
+            for name in batch["path"]:
+                where, at = _at(name)
+                held, size = [], 0
+                with where.open_input_stream(at, compression=None) as f:
+                    for h, b in parse_warc(f):
+                        held.append((h.get("WARC-Type"), h, b))
+                        size += len(b)
+                        if size > 8 << 20:
+                            yield pd.DataFrame(held, columns=["warc_type", "headers", "block"])
+                            held, size = [], 0
+                if held:
+                    yield pd.DataFrame(held, columns=["warc_type", "headers", "block"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path)
-    return files.select("content").mapInPandas(parse, "warc_type string, headers map<string,string>, block binary")
+    return files.select("path").mapInPandas(parse, "warc_type string, headers map<string,string>, block binary")

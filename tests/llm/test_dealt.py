@@ -1,6 +1,7 @@
 """The ten operators against brute force, and on awkward rows: nulls, empty
 and very long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import base64
 import gzip
 import hashlib
 import math
@@ -61,6 +62,16 @@ def test_warc(spark, tmp_path):
     back = warc.read_warc(spark, str(tmp_path)).collect()
     assert Counter(r["warc_type"] for r in back) == {"metadata": 3, "conversion": 3}
     assert {bytes(r["block"]).decode() for r in back if r["headers"].get("WARC-Target-URI") == "http://a/b" and r["warc_type"] == "conversion"} == {"One\ntwo <3"}
+    source = {r["record_id"]: r for r in warc.page_responses(pages).collect()}
+    for r in back:
+        h = r["headers"]
+        of = source[h["WARC-Refers-To"]]
+        assert h["WARC-Date"] == warc.CREATED and h["WARC-Refers-To-Date"] == of["warc_date"] and h.get("WARC-Refers-To-Target-URI") == of["target_uri"] and "WARC-Payload-Digest" not in h
+        assert h["X-Source-Payload-Digest"] == of["payload_digest"] and base64.b64decode(h["X-Source-Headers"]).decode() == of["http_headers"]
+        assert h["WARC-Block-Digest"] == "sha256:" + hashlib.sha256(r["block"]).hexdigest()
+    long = spark.createDataFrame([(1, "u", "<p>" + "word &lt; " * 400_000 + "</p>"), (1, "u", "<p>x</p>"), (1, "u", "<p>x</p>")], "page_id long, url string, html string")
+    rows_ = warc.derivatives(warc.page_responses(long).withColumn("block", F.lit("clash")), keep=("page_id", "block", "record_id")).collect()
+    assert len(rows_) == 6 and rows_[0].__fields__.count("block") == 1 and max(r["content_length"] for r in rows_) == len("word < " * 400_000) - 1 and len({r["record_id"] for r in rows_}) == 4
     assert list(warc.parse_warc(gzip.compress(b""))) == []
     assert warc.derivatives(warc.page_responses(pages.limit(0))).count() == 0
 
@@ -89,10 +100,36 @@ def test_spotsigs_pairs(spark):
     base += [t + " omega the end of it" for t in base[:10]] + [base[0]]
     df = spark.createDataFrame(list(enumerate(base)), "doc_id long, text string")
     pairs, members = spotsigs.near_pairs(df, 0.5)
-    sets = [set(spotsigs.signatures(t).tolist()) for t in base[:40]]
+    sets = [set(naive_signatures(t)) for t in base[:40]]
     want = {(i, j) for i in range(40) for j in range(i + 1, 40) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.5}
-    assert {(r["a"], r["b"]) for r in pairs.collect()} == want and want
-    assert {r["doc_id"]: r["class_id"] for r in members.collect()}[40] == 0
+    assert {tuple(sorted((r["id_a"], r["id_b"]))) for r in pairs.collect()} == want and want
+    got = {r["doc_id"]: (r["class_id"], r["n_near"]) for r in spotsigs.near_classes(df).collect()}
+    degree = Counter(i for p in want for i in p)
+    assert got == {i: (0 if i == 40 else i, degree[0 if i == 40 else i]) for i in range(41)}
+
+
+def naive_signatures(text: str) -> list[tuple]:
+    """Chains word by word: an anchor and the next content words."""
+    import xxhash
+
+    words = spotsigs.WORD.findall(text.lower())
+    common = [w in spotsigs.FUNCTION_WORDS for w in words]
+    anchor = [c or (((xxhash.xxh3_64_intdigest(w) & ~1) >> 8) & (1 << 55) - 1) % spotsigs.ANCHOR_EVERY == 0 for w, c in zip(words, common)]
+    if words and not any(anchor):
+        anchor[0] = True
+    return [(words[i], *[w for w, c in zip(words[i + 1 :], common[i + 1 :]) if not c][: spotsigs.CHAIN]) for i in range(len(words)) if anchor[i]]
+
+
+def test_spotsigs_likeness_against_brute_force(docs):
+    """near_edited and near_next by naive chains."""
+    order = sorted([(-1 if r[0] is None else r[0], r[1] or "") for r in rows()])
+    sets = lambda t: set(naive_signatures(t)) if spotsigs.WORD.search(t.lower()) else {t} - {""}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    want = Counter()
+    for (i, a), (_, b) in zip(order, order[1:] + order[:1]):
+        k = len(a) // 4
+        want[None if i < 0 else i, round(like(sets(a), sets(a[: len(a) - k] + b[:k])), 9), round(like(sets(a), sets(b)), 9)] += 1
+    assert Counter((r["doc_id"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in spotsigs.edit_study(docs).collect()) == want
 
 
 # 3 --------------------------------------------------------------------------
