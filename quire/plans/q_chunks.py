@@ -54,18 +54,9 @@ def context_text(spark: SparkSession, d: str) -> DataFrame:
     return r.select("row_id", op.priority().alias("priority"), text.alias("embedding_text"))
 
 
-@query(f"""WITH {NAMED_SQL.replace('tab AS', 'spec AS (SELECT p_partkey AS unit, p_name AS text FROM part), tab AS', 1)}, u AS (SELECT 0 AS source_rank, unit AS ord, text FROM spec WHERE unit % 3 = 0 UNION ALL SELECT 1, row_id, row_text FROM typed UNION ALL SELECT 2, doc_id, left(text, 80) FROM documents)
+@query(f"""WITH {NAMED_SQL.replace('tab AS', 'spec AS (SELECT p_partkey AS unit, p_name AS text FROM part), tab AS', 1)}, u AS (SELECT 0 AS source_rank, unit AS ord, text FROM spec UNION ALL SELECT 1, row_id, row_text FROM typed UNION ALL SELECT 2, doc_id, text FROM documents)
 SELECT source_rank, ord, text, CAST((length(text) + 3) // 4 AS INT) AS token_estimate FROM u""")
 def union_chunks(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "part").filter("p_partkey % 3 = 0").select(F.lit(0).alias("source_rank"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("text"))
-    b = tab.typed_rows(rows(spark, d)).select(F.lit(1).alias("source_rank"), F.col("row_id").alias("ord"), F.col("row_text").alias("text"))
-    c = table(spark, d, "documents").select(F.lit(2).alias("source_rank"), F.col("doc_id").alias("ord"), F.left("text", F.lit(80)).alias("text"))
-    return a.unionByName(b).unionByName(c).withColumn("token_estimate", char_tokens("text"))
-
-
-@query()
-def union_chunks_whole(spark: SparkSession, d: str) -> DataFrame:
-    """union_chunks over all parts and whole document texts."""
     a = table(spark, d, "part").select(F.lit(0).alias("source_rank"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("text"))
     b = tab.typed_rows(rows(spark, d)).select(F.lit(1).alias("source_rank"), F.col("row_id").alias("ord"), F.col("row_text").alias("text"))
     c = table(spark, d, "documents").select(F.lit(2).alias("source_rank"), F.col("doc_id").alias("ord"), "text")

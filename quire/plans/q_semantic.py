@@ -51,11 +51,9 @@ def review_only_kinds(spark: SparkSession, d: str) -> DataFrame:
     return spec(spark, d).withColumn("kind", op.review_kind("text")).filter("kind is not null").groupBy("page", "kind").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {SPEC_SQL}, m AS (SELECT unit, unnest(regexp_extract_all(text, '(?i)\\b(?:sections?|tables?|figures?)\\s+[a-z0-9]+(?:[.-][a-z0-9]+)*')) AS m FROM spec WHERE NOT regexp_matches(text, 'Clauses|Log Identifier'))
-SELECT unit, CASE lower(left(m, 1)) WHEN 's' THEN 'section' WHEN 't' THEN 'table' ELSE 'figure' END AS target_type, regexp_extract(m, '\\S+$') AS label FROM m""")
+@query()
 def crossref_targets(spark: SparkSession, d: str) -> DataFrame:
-    refs = op.reference_rows(spec(spark, d).filter(~F.col("text").rlike("Clauses|Log Identifier")), ["unit"])
-    return refs.filter("target_type in ('section', 'table', 'figure')").select("unit", "target_type", "label")
+    return op.reference_rows(spec(spark, d), ["unit"]).select("unit", "target_type", "label")
 
 
 @query()
@@ -63,13 +61,7 @@ def crossref_spans(spark: SparkSession, d: str) -> DataFrame:
     return op.reference_rows(spec(spark, d), ["unit"])
 
 
-@query(f"""WITH {SPEC_SQL}, m AS (SELECT unit, unnest(regexp_extract_all(text, '(?i)\\b(?:sections?|tables?|figures?)\\s+[a-z0-9]+(?:[.-][a-z0-9]+)*')) AS m FROM spec WHERE NOT regexp_matches(text, 'Clauses|Log Identifier')),
-r AS (SELECT unit, CASE lower(left(m, 1)) WHEN 's' THEN 'section' WHEN 't' THEN 'table' ELSE 'figure' END AS target_type, regexp_extract(m, '\\S+$') AS label, regexp_replace(lower(regexp_extract(m, '\\S+$')), '[^a-z0-9]+', '', 'g') AS key FROM m),
-t AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'table' ELSE 'section' END AS target_type, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey % 40 AS VARCHAR) ELSE concat(s_suppkey % 9 + 1, CASE WHEN s_suppkey % 4 = 1 THEN '.' ELSE '-' END, s_suppkey % 5 + 1) END AS label, concat('block-', s_suppkey) AS target FROM supplier),
-k AS (SELECT target_type, regexp_replace(lower(label), '[^a-z0-9]+', '', 'g') AS key, count(DISTINCT target) AS n, min(target) AS only_ FROM t GROUP BY ALL), e AS (SELECT target_type, label, max(target) AS exact FROM t GROUP BY ALL)
-SELECT unit, r.target_type, r.label, r.key, CAST(coalesce(n, 0) AS INT) AS candidates, coalesce(exact, CASE WHEN n = 1 THEN only_ END) AS target,
-CASE WHEN coalesce(exact, CASE WHEN n = 1 THEN only_ END) IS NOT NULL THEN NULL WHEN n > 1 THEN 'ambiguous_target' WHEN r.target_type NOT IN (SELECT target_type FROM t) THEN 'missing_target_type' ELSE 'missing_target_label' END AS unresolved_reason
-FROM r LEFT JOIN e ON r.target_type = e.target_type AND r.label = e.label LEFT JOIN k ON r.target_type = k.target_type AND r.key = k.key""")
+@query()
 def crossref_resolve(spark: SparkSession, d: str) -> DataFrame:
     return op.resolve(crossref_targets(spark, d), supplier_targets(spark, d), ["unit"])
 
@@ -81,22 +73,12 @@ def supplier_targets(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.when(F.col("s_suppkey") % 2 == 0, "table").otherwise("section").alias("target_type"), label.alias("label"), F.concat(F.lit("block-"), "s_suppkey").alias("target"))
 
 
-@query()
-def crossref_targets_all(spark: SparkSession, d: str) -> DataFrame:
-    """crossref_targets over all units and target types."""
-    return op.reference_rows(spec(spark, d), ["unit"]).select("unit", "target_type", "label")
-
-
-@query()
-def crossref_resolve_all(spark: SparkSession, d: str) -> DataFrame:
-    """crossref_resolve over all units and target types."""
-    return op.resolve(crossref_targets_all(spark, d), supplier_targets(spark, d), ["unit"])
+LABELS = """CASE p_partkey % 6 WHEN 0 THEN concat('0x0', p_size) WHEN 1 THEN concat('00', p_size, 'h') WHEN 2 THEN concat(p_size, '.', p_partkey % 7) WHEN 3 THEN concat('REQ-', p_partkey) WHEN 4 THEN concat('Log Identifier ', p_size % 10, 'Ch') ELSE 'Table' END"""
 
 
-@query("""SELECT * FROM (VALUES ('0x02', 'hex:2'), ('02h', 'hex:2'), ('2.1', '21'), ('A', 'hex:a'), ('Log Identifier 0Ch', 'hex:c'), ('REQ-12', 'req12'), ('Table', 'table'), ('0x00', 'hex:0')) v(label, key)""")
+@query(f"""SELECT p_partkey, {LABELS} AS label, CASE p_partkey % 6 WHEN 0 THEN concat('hex:', p_size) WHEN 1 THEN concat('hex:', p_size) WHEN 2 THEN concat(p_size, p_partkey % 7) WHEN 3 THEN concat('req', p_partkey) WHEN 4 THEN concat('hex:', CASE WHEN p_size % 10 > 0 THEN CAST(p_size % 10 AS VARCHAR) ELSE '' END, 'c') ELSE 'table' END AS key FROM part""")
 def reference_keys(spark: SparkSession, d: str) -> DataFrame:
-    labels = spark.createDataFrame([(x,) for x in ("0x02", "02h", "2.1", "A", "Log Identifier 0Ch", "REQ-12", "Table", "0x00")], "label string")
-    return labels.select("label", ref_key("label").alias("key"))
+    return table(spark, d, "part").select("p_partkey", F.expr(LABELS).alias("label")).withColumn("key", ref_key("label"))
 
 
 @query("""WITH p AS (SELECT o_orderkey AS unit, concat('1. open ', o_orderpriority, chr(10), 'note', chr(10), '- close ', o_orderstatus, chr(10), '2) done') AS text FROM orders),

@@ -11,15 +11,13 @@ from ..streaming.ingest import progress
 from .registry import query
 
 
-@query("""WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<h1[^>]*>.*?</h1>|<li[^>]*>.*?</li>')) AS m FROM pages), t AS (SELECT page_id, CASE WHEN lower(m[2:2]) = 'h' THEN 'heading' ELSE 'list' END AS kind, trim(regexp_replace(regexp_replace(m, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM m)
-SELECT page_id, kind, text FROM t WHERE text <> ''""")
-def html_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return blocks(table(spark, d, "pages")).filter("kind <> 'paragraph'").select("page_id", "kind", "text")
+_ELEMENTS = "|".join(f"<{t}[^>]*>.*?</{t}>" for t in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li"))
 
 
-@query()
-def html_blocks_all(spark: SparkSession, d: str) -> DataFrame:
-    """html_blocks with paragraphs and block numbers."""
+@query(f"""WITH x AS (SELECT page_id, regexp_extract_all(html, '(?is){_ELEMENTS}') AS ms FROM pages), m AS (SELECT page_id, CAST(i AS INT) AS block_no, ms[i] AS m FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM x)),
+t AS (SELECT page_id, block_no, CASE lower(m[2:2]) WHEN 'h' THEN 'heading' WHEN 'p' THEN 'paragraph' ELSE 'list' END AS kind, trim(regexp_replace(regexp_replace(m, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM m)
+SELECT * FROM t WHERE text <> ''""")
+def html_blocks(spark: SparkSession, d: str) -> DataFrame:
     return blocks(table(spark, d, "pages")).select("page_id", "block_no", "kind", "text")
 
 

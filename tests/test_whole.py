@@ -12,7 +12,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 def test_union_has_whole_texts(spark):
-    got = Counter((r["source_rank"], r["ord"], r["text"], r["token_estimate"]) for r in QUERIES["union_chunks_whole"](spark, DATA).collect())
+    got = Counter((r["source_rank"], r["ord"], r["text"], r["token_estimate"]) for r in QUERIES["union_chunks"](spark, DATA).collect())
     want = [(0, r["p_partkey"], r["p_name"]) for r in table(spark, DATA, "part").collect()]
     want += [(1, r["row_id"], r["row_text"]) for r in tables.typed_rows(rows(spark, DATA)).collect()]
     want += [(2, r["doc_id"], r["text"]) for r in table(spark, DATA, "documents").collect()]
@@ -23,13 +23,13 @@ def test_union_has_whole_texts(spark):
 def test_all_references_are_resolved(spark):
     refs = [(r["unit"], kind, label) for r in spec(spark, DATA).collect() for kind, label, *_ in semantics.references(r["text"])]
     assert {"section", "table", "figure", "log_page", "opcode", "requirement"} <= {kind for _, kind, _ in refs}
-    assert Counter(map(tuple, QUERIES["crossref_targets_all"](spark, DATA).collect())) == Counter(refs)
+    assert Counter(map(tuple, QUERIES["crossref_targets"](spark, DATA).collect())) == Counter(refs)
     exact = {}
     for r in table(spark, DATA, "supplier").collect():
         k = r["s_suppkey"]
         label = str(k % 40) if k % 2 == 0 else f"{k % 9 + 1}{'.' if k % 4 == 1 else '-'}{k % 5 + 1}"
         exact.setdefault(("section" if k % 2 else "table", label), []).append(f"block-{k}")
-    got = QUERIES["crossref_resolve_all"](spark, DATA).collect()
+    got = QUERIES["crossref_resolve"](spark, DATA).collect()
     assert Counter((r["unit"], r["target_type"], r["label"]) for r in got) == Counter(refs)
     for r in got:
         same = exact.get((r["target_type"], r["label"]))
@@ -50,5 +50,5 @@ def test_html_blocks_of_all_kinds(spark):
             text = re.sub(r"\s+", " ", re.sub(r"<[^>]*>", " ", m[2]), flags=re.A).strip(" ")
             if text:
                 want[r["page_id"], n, {"h": "heading", "p": "paragraph", "l": "list"}[m[1][0].lower()], text] += 1
-    got = Counter((r["page_id"], r["block_no"], r["kind"], r["text"]) for r in QUERIES["html_blocks_all"](spark, DATA).collect())
+    got = Counter((r["page_id"], r["block_no"], r["kind"], r["text"]) for r in QUERIES["html_blocks"](spark, DATA).collect())
     assert got == want and {k[2] for k in want} == {"heading", "paragraph", "list"}
