@@ -19,12 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder that all executors share. The cluster names it in
-    spark.checkpoint.dir; only where that is unset (tests) a local one is made."""
+    spark.checkpoint.dir; where that is unset a local one is made on a local
+    master only (tests)."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not named and not (sc.master or "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
