@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.rules import DOMAIN_WORDS
-
-
-def keyword_table(words: dict[str, str] = DOMAIN_WORDS) -> list[tuple[str, str, int]]:
-    """(adapter, keyword, weight); an anchor counts three times."""
-    return [(a, w.lstrip("+"), 3 if w.startswith("+") else 1) for a, ws in words.items() for w in ws.split("|")]
+from .semantics import page_keys
 
 
 def occurrences(text: Column, word: Column | str) -> Column:
@@ -19,21 +15,26 @@ def occurrences(text: Column, word: Column | str) -> Column:
     return ((F.char_length(text) - F.char_length(F.replace(text, w, F.lit("")))) / F.char_length(w)).cast("int")
 
 
-def scores(docs: DataFrame, keys: list[str], text: str = "text", words: dict[str, str] = DOMAIN_WORDS) -> DataFrame:
-    """One row a document and adapter. The keyword table is a literal, so the
-    text is scanned where it lies and only (key, adapter, score) rows exist."""
+def score_array(text: str, words: dict[str, str] = DOMAIN_WORDS) -> Column:
+    """(adapter, score) of every adapter; the keyword table is a literal."""
     low = F.lower(text)
-    per = [F.struct(F.lit(a).alias("adapter"), sum((occurrences(low, w.lstrip("+")) * (3 if w.startswith("+") else 1) for w in ws.split("|")), F.lit(0)).alias("score")) for a, ws in words.items()]
-    return docs.select(*keys, F.explode(F.array(*per)).alias("s")).select(*keys, "s.adapter", "s.score")
+    return F.array(*[F.struct(F.lit(a).alias("adapter"), sum((occurrences(low, w.lstrip("+")) * (3 if w.startswith("+") else 1) for w in ws.split("|")), F.lit(0)).alias("score")) for a, ws in words.items()])
+
+
+def scores(docs: DataFrame, keys: list[str], text: str = "text", words: dict[str, str] = DOMAIN_WORDS) -> DataFrame:
+    """One row a document and adapter; the text is scanned where it lies."""
+    return docs.select(*keys, F.explode(score_array(text, words)).alias("s")).select(*keys, "s.adapter", "s.score")
 
 
-def recommend(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """The best adapter (ties by name) and how far it leads."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "adapter")
-    r = scored.select("*", F.row_number().over(w).alias("nth"), F.lead("score").over(w).alias("next"), F.lead("adapter").over(w).alias("runner_up"))
-    r = r.filter("nth = 1")
-    level = F.when(F.col("score") <= 0, "none").when((F.col("score") >= 4) & (F.col("score") >= F.col("next") + 2), "high").when((F.col("score") >= 2) & (F.col("score") > F.col("next")), "medium").otherwise("low")
-    return r.select(*keys, F.when(F.col("score") > 0, F.col("adapter")).alias("adapter"), "score", F.when(F.col("next") > 0, F.col("runner_up")).alias("runner_up"), (F.col("score") - F.col("next")).alias("margin"), level.alias("confidence"))
+def recommend(docs: DataFrame, keys: list[str], text: str = "text", words: dict[str, str] = DOMAIN_WORDS) -> DataFrame:
+    """The best adapter (ties by name) and how far it leads, in place: the
+    scores of a document are sorted in its row."""
+    by_score = F.array_sort(F.transform(score_array(text, words), lambda s: F.struct((-s["score"]).alias("minus"), s["adapter"].alias("adapter"))))
+    # A generator keeps the scan from being repeated by each column that reads it.
+    r = docs.select(*keys, F.explode(F.array(by_score)).alias("s"))
+    score, second = -F.col("s")[0]["minus"], -F.col("s")[1]["minus"]
+    level = F.when(score <= 0, "none").when((score >= 4) & (score >= second + 2), "high").when((score >= 2) & (score > second), "medium").otherwise("low")
+    return r.select(*keys, F.when(score > 0, F.col("s")[0]["adapter"]).alias("adapter"), score.alias("score"), F.when(second > 0, F.col("s")[1]["adapter"]).alias("runner_up"), (score - second).alias("margin"), level.alias("confidence"))
 
 
 #: technical unit type -> (domain unit type, name cell, value cell), in order
@@ -46,11 +47,11 @@ NVME_UNITS = [
 def units(typed: DataFrame) -> DataFrame:
     """Domain units of typed rows: the first of equal (type, name, value)."""
     case = lambda k: F.expr("CASE unit_type " + " ".join(f"WHEN '{u[0]}' THEN {k(u)}" for u in NVME_UNITS) + " END")
-    u = typed.select("row_id", "page", case(lambda u: f"'{u[1]}'").alias("domain_type"), case(lambda u: u[2]).alias("name"), case(lambda u: u[3]).alias("value")).filter("domain_type is not null")
+    u = typed.select("row_id", *page_keys(typed), case(lambda u: f"'{u[1]}'").alias("domain_type"), case(lambda u: u[2]).alias("name"), case(lambda u: u[3]).alias("value")).filter("domain_type is not null")
     first = Window.partitionBy("domain_type", "name", "value").orderBy("row_id")
     once = u.withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth")
-    # Numbers are per page: a global order would be one task's.
-    return once.withColumn("unit_no", F.row_number().over(Window.partitionBy("page").orderBy("row_id")))
+    # Numbers are per page of a document: a global order would be one task's.
+    return once.withColumn("unit_no", F.row_number().over(Window.partitionBy(*page_keys(once)).orderBy("row_id")))
 
 
 def normalised(fields: dict[str, Column]) -> Column:
@@ -81,7 +82,3 @@ def merged_coverage(parts: DataFrame) -> DataFrame:
     """Coverage of a corpus from coverages of its parts: sums first, ratio last."""
     s = parts.groupBy("domain_type", "field").agg(F.sum("units").alias("units"), F.sum("present").alias("present"))
     return s.withColumn("ratio", F.round(F.col("present") / F.col("units"), 4))
-
-
-def keyword_frame(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(keyword_table(), "adapter string, keyword string, weight int")

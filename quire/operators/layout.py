@@ -89,9 +89,9 @@ def figure_kind(text: str) -> Column:
 
 def deduplicated_images(images: DataFrame, order: list[str]) -> DataFrame:
     """Frequency of an image's hash, and the first path of equal ones."""
-    w = Window.partitionBy("sha").orderBy(*order)
-    n = F.count("*").over(Window.partitionBy("sha"))
-    i = images.select("*", n.alias("frequency"), F.first("path").over(w).alias("canonical"))
+    # An aggregation and a join: a window would hold all copies of one image.
+    of = images.groupBy("sha").agg(F.count("*").alias("frequency"), F.min_by("path", F.struct(*order)).alias("canonical"))
+    i = images.join(of, "sha").select(*images.columns, "frequency", "canonical")
     tiny = ((F.col("height") <= 8) | (F.col("width") <= 16)) & ~F.col("captioned")
     repeated = ((F.col("height") <= 10) | (F.col("width") <= 20)) & (F.col("frequency") >= 2) & ~F.col("captioned")
     return i.withColumn("decorative", tiny | repeated)

@@ -2,34 +2,88 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokens
 
+POSTINGS = 2_000_000  # query postings that are sent to all tasks
+
 
 def retrieval_text(embedding: str = "embedding_text", text: str = "text"):
     return F.coalesce(F.when(F.trim(embedding) != "", F.col(embedding)), F.col(text), F.lit(""))
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def retrieve(chunks: DataFrame, queries: DataFrame, k: int = 5, most: int = POSTINGS) -> DataFrame:
     """Top k chunks by query. chunks: chunk_id, text, priority; queries:
     query_id, query. Score = shared tokens + their share of the chunk's tokens
     + priority / 1000, ties to the smaller chunk_id.
 
-    Both sides are exploded to tokens and equi-joined; pairs without a common
-    token never exist. The sums are partial before they are shuffled."""
-    c = chunks.select("chunk_id", "priority", tokens("text").alias("tok")).withColumn("n_tok", F.size("tok"))
+    Up to `most` (token, query) postings are counted, sent to all tasks, and
+    every task keeps its own top k while it reads the chunks: a token that all
+    chunks have costs no shuffle. Beyond that both sides are equi-joined on
+    tokens, which is skewed by common ones but has no bound."""
     q = queries.select("query_id", F.explode(tokens("query")).alias("token"))
-    hits = c.select("chunk_id", "priority", "n_tok", F.explode("tok").alias("token")).join(q, "token")
-    shared = hits.groupBy("query_id", "chunk_id", "n_tok", "priority").agg(F.count("*").alias("shared"))
-    score = F.col("shared") + F.col("shared") / F.col("n_tok") + F.coalesce("priority", F.lit(0)) / 1000.0
+    c = chunks.select("chunk_id", "priority", tokens("text").alias("tok")).withColumn("n_tok", F.size("tok"))
+    postings = q.limit(most + 1).toArrow()
+    if postings.num_rows <= most:
+        scored = _scanned(c, postings, k)
+    else:
+        hits = c.select("chunk_id", "priority", "n_tok", F.explode("tok").alias("token")).join(q, "token")
+        shared = hits.groupBy("query_id", "chunk_id", "n_tok", "priority").agg(F.count("*").alias("shared"))
+        scored = shared.withColumn("score", F.col("shared") + F.col("shared") / F.col("n_tok") + F.coalesce("priority", F.lit(0)) / 1000.0)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    ranked = shared.withColumn("score", score).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
+def _scanned(chunks: DataFrame, postings, k: int) -> DataFrame:
+    """(query_id, chunk_id, score): the k best of each task and query."""
+    import numpy as np
+
+    ids, code = np.unique(postings.column(0).to_numpy(), return_inverse=True)
+    lists: dict[str, list[int]] = {}
+    for token, i in zip(postings.column(1).to_pylist(), code.tolist()):
+        lists.setdefault(token, []).append(i)
+    shared = chunks.sparkSession.sparkContext.broadcast((ids, {t: np.array(x, dtype=np.int64) for t, x in lists.items()}))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        ids, lists = shared.value
+        best = [np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)]
+        step = max(1, 2_000_000 // max(1, len(ids)))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                rows, found = [], []
+                for i, tok in enumerate(batch.column(2).to_pylist()):
+                    hit = [lists[t] for t in tok or () if t in lists]
+                    if hit:
+                        found.append(np.concatenate(hit))
+                        rows.append(np.full(len(found[-1]), i))
+                if not rows:
+                    continue
+                pair, count = np.unique(np.concatenate(found) * np.int64(batch.num_rows) + np.concatenate(rows), return_counts=True)
+                q, r = pair // batch.num_rows, pair % batch.num_rows
+                n = batch.column(3).to_numpy(zero_copy_only=False).astype(np.float64)[r]
+                priority = np.nan_to_num(batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64))[r]
+                mine = [q, batch.column(0).to_numpy(zero_copy_only=False)[r], count + count / n + priority / 1000.0]
+                q, c, s = (np.concatenate(x) for x in zip(best, mine))
+                order = np.lexsort((c, -s, q))
+                q, c, s = q[order], c[order], s[order]
+                first = np.concatenate([[True], q[1:] != q[:-1]])
+                place = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
+                best = [x[place < k] for x in (q, c, s)]
+        if len(best[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query_id", "chunk_id", "score"])
+
+    return chunks.select("chunk_id", "priority", "tok", "n_tok").mapInArrow(run, "query_id long, chunk_id long, score double")
+
+
 def query_metrics(found: DataFrame, relevant: DataFrame, queries: DataFrame) -> DataFrame:
     """hit@k, mean reciprocal rank and covered share, one row. found:
     query_id, source_id, rank; relevant: query_id, source_id."""

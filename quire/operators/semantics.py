@@ -73,12 +73,19 @@ def review_kind(text: str) -> Column:
     return F.expr(c_sql(REVIEW_ONLY, t=text))
 
 
+def page_keys(df: DataFrame) -> list[str]:
+    """A page is one of its document, where the relation has documents."""
+    return [c for c in ("doc_id", "page") if c in df.columns]
+
+
 def requirements(units: DataFrame, keys: list[str]) -> DataFrame:
-    """Normative sentences with their parts, numbered by page."""
-    s = sentences(units, [*keys, "page"]).filter(~is_noise("sentence", "page")).withColumn("strength", strength("sentence")).filter("strength is not null")
-    number = F.row_number().over(Window.partitionBy("page").orderBy(*keys, "sentence_no"))
+    """Normative sentences with their parts, numbered by page of a document."""
+    keys = [k for k in keys if k not in page_keys(units)]
+    at = page_keys(units)
+    s = sentences(units, [*keys, *at]).filter(~is_noise("sentence", "page")).withColumn("strength", strength("sentence")).filter("strength is not null")
+    number = F.row_number().over(Window.partitionBy(*at).orderBy(*keys, "sentence_no"))
     return s.select(
-        *keys, "page", "sentence_no", F.format_string("page-%04d-sem-%04d", F.col("page"), number).alias("semantic_id"), "sentence", "strength", first("sentence", REQ_ID).alias("requirement_id"),
+        *keys, *at, "sentence_no", F.format_string("page-%04d-sem-%04d", F.col("page"), number).alias("semantic_id"), "sentence", "strength", first("sentence", REQ_ID).alias("requirement_id"),
         first("sentence", CONDITION).alias("condition"), first("sentence", EXCEPTION).alias("exception"), dependencies("sentence").alias("dependencies"), testability("sentence").alias("testability"),
     ).withColumn("intent", intent("testability"))
 
@@ -147,4 +154,4 @@ def trace(requirements_: DataFrame, review: DataFrame, rows_: DataFrame) -> Data
     u = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
     key = Window.partitionBy("requirement_id", "text").orderBy("source_rank", "unit", "ordinal")
     once = u.withColumn("nth", F.row_number().over(key)).filter("nth = 1").drop("nth")
-    return once.withColumn("trace_no", F.row_number().over(Window.partitionBy("page").orderBy("source_rank", "unit", "ordinal")))
+    return once.withColumn("trace_no", F.row_number().over(Window.partitionBy(*page_keys(once)).orderBy("source_rank", "unit", "ordinal")))

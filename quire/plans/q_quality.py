@@ -34,7 +34,7 @@ def domain_scores(spark: SparkSession, d: str) -> DataFrame:
 SELECT id, CASE WHEN score > 0 THEN adapter END AS adapter, CAST(score AS INT) AS score, CASE WHEN nxt > 0 THEN second END AS runner_up, CAST(score - nxt AS INT) AS margin,
 CASE WHEN score <= 0 THEN 'none' WHEN score >= 4 AND score >= nxt + 2 THEN 'high' WHEN score >= 2 AND score > nxt THEN 'medium' ELSE 'low' END AS confidence FROM r WHERE nth = 1""")
 def domain_recommendation(spark: SparkSession, d: str) -> DataFrame:
-    return dom.recommend(dom.scores(texts(spark, d), ["id"]), ["id"])
+    return dom.recommend(texts(spark, d), ["id"])
 
 
 _CASE = lambda k: "CASE unit_type " + " ".join(f"WHEN '{u[0]}' THEN {u[k] if k > 1 else repr(u[k])}" for u in dom.NVME_UNITS) + " END"
