@@ -59,10 +59,22 @@ CACHES: list[dict] = []  # bounded per-worker caches of the operators
 
 
 def release_caches(*mine: dict) -> None:
-    """Workers are reused: a task drops what other operators cached there."""
+    """Workers are reused: a task drops what other operators cached there, and
+    gives back what was freed."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
     for cache in CACHES:
         if not any(cache is x for x in mine):
             cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
 
 
 def slices(batches, rows: int = 1000):
