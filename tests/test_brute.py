@@ -54,18 +54,31 @@ def test_similarity(spark):
     assert {r["p_partkey"]: r["ratio"] for r in QUERIES["sequence_similarity"](spark, DATA).collect()} == want
 
 
+def naive_parts(text: str, most: int) -> list[str]:
+    """Character by character: the last sentence end before white space, else
+    the last line break or space past half of the budget, else the budget."""
+    out, rest = [], text.strip()
+    while len(rest) > most:
+        at = 0
+        for k in range(1, most):
+            if rest[k - 1] in ".!?" and rest[k].isspace():
+                at = k
+        if not at:
+            soft = max((k for k in range(most) if rest[k] in "\n "), default=-1)
+            at = soft if soft >= most // 2 else most
+        if rest[:at].strip():
+            out.append(rest[:at].strip())
+        rest = rest[at:].strip()
+    return [*out, rest] if rest else out
+
+
 def test_parts_of_whole_texts(spark):
-    """Parts keep every character but white space, in order, within the budget."""
-    parts = defaultdict(dict)
-    for r in QUERIES["budget_split"](spark, DATA).collect():
-        parts[r["doc_id"]][r["part_index"]] = r
-    bare = lambda s: re.sub(r"\s+", "", s or "")
+    want = Counter()
     for r in table(spark, DATA, "documents").collect():
-        mine = parts.get(r["doc_id"], {})
-        assert sorted(mine) == list(range(1, len(mine) + 1)) and all(x["part_count"] == len(mine) for x in mine.values())
-        if mine and "part" in next(iter(mine.values())).__fields__:
-            assert bare("".join(mine[k]["part"] for k in sorted(mine))) == bare(r["text"])
-            assert all(len(x["part"]) <= 512 for x in mine.values())
+        parts = naive_parts(r["text"] or "", 512)
+        for n, x in enumerate(parts, 1):
+            want[r["doc_id"], n, len(parts), len(x), (len(x) + 3) // 4] += 1
+    assert Counter(map(tuple, QUERIES["budget_split"](spark, DATA).collect())) == want
 
 
 def test_realigned_headers_by_hand(spark):
@@ -139,6 +152,27 @@ def test_repaired_grids(spark):
     assert dict(map(tuple, QUERIES["grid_repair"](spark, DATA).collect())) == want
 
 
+def test_line_runs(spark):
+    """Runs of body lines by indent, gap and sentence end, line after line."""
+    pages = defaultdict(list)
+    for r in lines.typed(geo(spark, DATA)).collect():
+        pages[r["doc_id"], r["page"]].append(r)
+    want = set()
+    for key, found in pages.items():
+        runs = []
+        for r in sorted(found, key=lambda r: r["line_no"]):
+            body = r["line_type"] == "body_line"
+            if runs and body and all(x["line_type"] == "body_line" for x in runs[-1][-1:]):
+                last = runs[-1]
+                near = abs(r["x0"] - last[0]["x0"]) <= 6 and r["top"] - max(x["bottom"] for x in last) <= 18
+                if near and (last[-1]["text"].strip() or "?")[-1] not in ".:;?!":
+                    last.append(r)
+                    continue
+            runs.append([r])
+        want |= {(*key, n, len(x), x[0]["line_no"]) for n, x in enumerate(runs, 1)}
+    assert set(map(tuple, QUERIES["greedy_line_merge"](spark, DATA).collect())) == want
+
+
 def test_page_ranges():
     assert parse_pages("1-3,7,2", 9) == [1, 2, 3, 7] and parse_pages(None, 2) == [1, 2]
     for bad in ("3-1", "0", "11", "x", "1,,2"):
