@@ -389,8 +389,10 @@ def load(path: str) -> bytes:
 def encode(docs: DataFrame, model: bytes, text: str = "text", round_trip: bool = False) -> DataFrame:
     """docs with ids array<int> (empty for null and empty texts) and, with
     round_trip, `decoded`. One narrow pass; the model file (its size is fixed)
-    goes along by broadcast. Extra columns pass through but for ids and decoded,
-    which are replaced."""
+    goes along by broadcast. Rows are coded each on their own, so repeated rows
+    and null ids stay as they are; very long texts are coded whole; an empty
+    table gives an empty one. Extra columns pass through but for ids and
+    decoded, which are replaced."""
     docs = docs.drop("ids", "decoded")
     from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 

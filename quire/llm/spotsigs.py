@@ -103,8 +103,10 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `fingerprint` and `n_signatures`; extra columns pass through,
-    but for those of these names and fp."""
+    """docs with `fingerprint` and `n_signatures`. Null and empty texts have
+    the empty fingerprint; repeated rows equal ones; very long texts are read
+    whole; an empty table gives an empty one. Extra columns pass through, but
+    for those of these names and fp."""
     docs = docs.drop("fp", "fingerprint", "n_signatures")
     @F.pandas_udf("fingerprint string, n_signatures int")
     def run(batch):

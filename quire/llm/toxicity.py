@@ -192,7 +192,9 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
 
     Null and empty texts, and texts without words, score 0. Extra columns pass
     through but for those with a name of the result, which are replaced;
-    repeated rows are scored alike.
+    repeated rows are scored alike, ids (null or not) are never read. Very long
+    texts are scored whole, by all their sentences; an empty table gives an
+    empty one.
     """
     docs = docs.drop("score", "predicted", "n_sentences", "worst_start", "worst_end", "worst_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -215,7 +217,9 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
 
 
 def offending(docs: DataFrame, model: tuple[dict[str, float], float], threshold: float = 0.5) -> DataFrame:
-    """(doc_id, start, end, sentence_score, sentence) of sentences that are toxic by themselves."""
+    """(doc_id, start, end, sentence_score, sentence) of sentences that are
+    toxic by themselves. Null and empty texts have none, null ids stay null,
+    repeated rows give their sentences each, an empty table gives none."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator) -> Iterator:
