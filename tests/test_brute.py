@@ -102,6 +102,54 @@ def test_realigned_headers_by_hand(spark):
     assert {r["grid_id"]: (r["shifts"], r["cells"]) for r in QUERIES["header_realign"](spark, DATA).collect()} == want
 
 
+def test_row_pipeline(spark):
+    """The whole way of a grid in plain loops."""
+    from quire.operators.headers import HINTS
+
+    full = lambda r: sum(bool(x) for x in r)
+    dense = lambda rows: sum(map(full, rows)) / max(1, sum(map(len, rows)))
+
+    def unique(names: list[str]) -> list[str]:
+        return [x if names[: i + 1].count(x) == 1 else f"{x} {names[: i + 1].count(x)}" for i, x in enumerate(names)]
+
+    want = {}
+    for r in header_grids(spark, DATA).collect():
+        g = [[x.strip() for x in row] for row in r["grid"]]
+        kept = [row for n, row in enumerate(g) if full(row) or n == 0]
+        use = [k for k in range(len(kept[0])) if any(row[k] for row in kept)]
+        g = [[row[k] for k in use] for row in kept]
+        promoted = 0
+        if len(g) >= 3 and not full(g[0]) and full(g[1]) / len(g[1]) >= 0.5 and sum(bool(set(re.split("[^a-z]+", x.lower())) & set(HINTS)) for x in g[1]) >= 2 and dense(g[2:]) >= 0.35:
+            g, promoted = g[1:], 1
+        head, body, moves = list(g[0]), g[1:], 0
+        n = [sum(bool(row[k]) for row in body) for k in range(len(head))]
+        for k in range(len(head)):
+            if head[k] and not n[k]:
+                left = k > 0 and n[k - 1] > 0 and not head[k - 1]
+                right = k + 1 < len(head) and n[k + 1] > 0 and not head[k + 1]
+                far = n[k + 1] if k + 1 < len(head) else 0
+                to = k - 1 if left and n[k - 1] >= far else k + 1 if right else k - 1 if left else None
+                if to is not None and len(g) >= 2:
+                    head[to], head[k], moves = head[k], "", moves + 1
+        multi = False
+        if len(body) >= 2:
+            second = body[0]
+            again = any(a and a == b for a, b in zip(head, head[1:]))
+            blank = sum(not a and bool(b) for a, b in zip(head, second))
+            multi = full(second) >= max(2, len(second) // 2) and dense(body[1:]) >= 0.35 and (again or blank >= 2) and full(head) > 0
+        if multi:
+            names, last = [], ""
+            for k, (a, b) in enumerate(zip(head, body[0])):
+                parent = a or (last if last and b else "")
+                last = a or last
+                names.append(f"{parent} / {b}" if parent and b and parent != b else b or parent or f"Column {k + 1}")
+            body = body[1:]
+        else:
+            names = [x or f"Column {k + 1}" for k, x in enumerate(head)]
+        want[r["grid_id"]] = (",".join(unique(names)), ";".join("/".join(x) for x in body), promoted, moves, multi, 0)
+    assert {r["grid_id"]: tuple(r)[1:] for r in QUERIES["table_row_pipeline"](spark, DATA).collect()} == want
+
+
 def test_captions_once(spark):
     """Within 30 points of the last kept caption of one text of a document."""
     at = defaultdict(list)
