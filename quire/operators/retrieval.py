@@ -28,8 +28,9 @@ def retrieve(chunks: DataFrame, queries: DataFrame, k: int = 5, most: int = POST
     tokens, which is skewed by common ones but has no bound."""
     q = queries.select("query_id", F.explode(tokens("query")).alias("token"))
     c = chunks.select("chunk_id", "priority", tokens("text").alias("tok")).withColumn("n_tok", F.size("tok"))
-    postings = q.limit(most + 1).toArrow()
-    if postings.num_rows <= most:
+    whole = {"bigint", "int", "smallint", "tinyint"}  # other ids are joined
+    postings = q.limit(most + 1).toArrow() if {dict(chunks.dtypes)["chunk_id"], dict(queries.dtypes)["query_id"]} <= whole else None
+    if postings is not None and postings.num_rows <= most:
         scored = _scanned(c, postings, k)
     else:
         hits = c.select("chunk_id", "priority", "n_tok", F.explode("tok").alias("token")).join(q, "token")
@@ -79,9 +80,9 @@ def _scanned(chunks: DataFrame, postings, k: int) -> DataFrame:
                 place = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
                 best = [x[place < k] for x in (q, c, s)]
         if len(best[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query_id", "chunk_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]].astype(np.int64)), pa.array(best[1]), pa.array(best[2])], ["query_id", "chunk_id", "score"])
 
-    return chunks.select("chunk_id", "priority", "tok", "n_tok").mapInArrow(run, "query_id long, chunk_id long, score double")
+    return chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.coalesce("priority", F.lit(0)).cast("double").alias("priority"), "tok", "n_tok").mapInArrow(run, "query_id long, chunk_id long, score double")
 
 
 def query_metrics(found: DataFrame, relevant: DataFrame, queries: DataFrame) -> DataFrame:

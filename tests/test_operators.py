@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
-from quire.operators import chunks, corpus, layout, lines, semantics, tables
+from quire.operators import chunks, corpus, layout, lines, retrieval, semantics, tables
 from quire.sources.pages import parse_pages, sample_pages
 
 
@@ -85,3 +85,15 @@ def test_partition_invariance(spark):
     df = spark.createDataFrame(rows, "doc_id int, line_no int, text string")
     a, b = (sorted(map(tuple, chunks.greedy_groups(x, ["doc_id"], "line_no", F.char_length("text"), 60).select("doc_id", "line_no", "grp").collect())) for x in (df.repartition(7), df.coalesce(1)))
     assert a == b
+
+
+def test_retrieval_both_ways(spark):
+    """By scan and by join; ids of text are joined; no queries, no rows."""
+    chunks = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 11}" for k in range(1, 7)), i % 3 or None) for i in range(60)], "chunk_id long, text string, priority int").repartition(4)
+    queries = spark.createDataFrame([(i, f"w{i} w{i + 1} w{i + 2} zz") for i in range(8)] + [(9, None)], "query_id long, query string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    scan, join = rows(retrieval.retrieve(chunks, queries, 4)), rows(retrieval.retrieve(chunks, queries, 4, most=0))
+    assert scan == join and len(scan) == 32
+    named = rows(retrieval.retrieve(chunks.withColumn("chunk_id", F.format_string("%03d", "chunk_id")), queries, 4))
+    assert [(q, int(c), r, s) for q, c, r, s in named] == scan
+    assert rows(retrieval.retrieve(chunks, queries.limit(0))) == []
