@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -468,6 +469,47 @@ def test_containment_at_any_ratio(spark):
     assert all(n <= within[i] for i, n in near.items()) and sum(near.values()) >= 0.9 * sum(within.values())
 
 
+def test_texts_of_common_lines_have_no_row_for_each_link(spark, monkeypatch):
+    """Short texts made of lines that many larger ones hold: links and classes
+    are exact in one block and in many, and far fewer rows leave the cells."""
+    r, lines = random.Random(12), [prose(1300 + i, 9) for i in range(4)]
+    texts = {i: prose(1400 + i, 3) + " " + " ".join(r.sample(lines, 2)) for i in range(40)}
+    texts |= {100 + i: prose(1500 + i, 40) + " " + " ".join(r.sample(lines, r.randint(1, 3))) + " " + prose(1700 + i, 70) for i in range(120)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    links, rows, cells = all_links(texts), [], ensemble.in_cells
+    degree = Counter(i for p in links for i in p)
+    far = [p for p in links if p[0] < 100 <= p[1]]
+    parent = {i: i for i in texts}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in links:
+        a, b = root(i), root(j)
+        parent[max(a, b)] = min(a, b)
+    monkeypatch.setattr(ensemble, "RARE", 8)
+    monkeypatch.setattr(ensemble, "in_cells", lambda *a: rows.append(cells(*a)) or rows[-1])
+    for at_once in (ensemble.CELL_ROWS, 60):
+        monkeypatch.setattr(ensemble, "CELL_ROWS", at_once)
+        got = {x["doc_id"]: x for x in ensemble.near_duplicates(df).collect()}
+        assert all(abs(got[i]["n_links"] - degree[i]) <= (0 if i >= 100 else 0.1 * degree[i]) for i in texts)
+        assert {i: x["class_id"] for i, x in got.items()} == {i: root(i) for i in texts}
+    assert len(far) > 600 and sum(x["n"] for x in rows[0].filter("n > 0").collect()) == 2 * len(far) and rows[0].count() < len(far) / 2
+
+
+def test_shingles_are_those_of_the_words():
+    """Hashed together or alone, and as many as there are different runs of words."""
+    odd = ["", None, "!!", "a", "A b", "a b c", "\u0130stanbul \u0391\u03a3 \u0391\u03a3 x", "\u00e91_\u00b2 x y", "a b c a b c", *[prose(i, 40 + i) for i in range(30)]]
+    sets = ensemble.shingle_sets(odd)
+    assert all((a == ensemble.shingles(t)).all() and len(a) == len(ensemble.shingles(t)) for t, a in zip(odd, sets))
+    words = [re.findall(r"\w+", (t or "").lower()) for t in odd]
+    runs = [{tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else {t} if t else set() for t, w in zip(odd, words)]
+    assert [len(x) for x in sets] == [len(x) for x in runs]
+    assert len(np.unique(np.concatenate(sets))) == len(set().union(*runs))
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_recall_at_the_threshold(spark, hot, monkeypatch):
     """Pairs of texts just at the threshold, the larger up to four times as
