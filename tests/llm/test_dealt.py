@@ -499,6 +499,28 @@ def test_texts_of_common_lines_have_no_row_for_each_link(spark, monkeypatch):
     assert len(far) > 600 and sum(x["n"] for x in rows[0].filter("n > 0").collect()) == 2 * len(far) and rows[0].count() < len(far) / 2
 
 
+def test_pairs_of_a_few_common_lines_are_not_compared(spark, monkeypatch):
+    """Of pairs that share a band most share only a line: their sets aren't
+    sent; no pair at the threshold goes with them."""
+    lines = [prose(2000 + i, 50) for i in range(3)]
+    texts = {i: prose(2100 + i, 60) + " " + lines[i % 3] + " " + prose(2300 + i, 60 + i % 40) for i in range(150)}
+    texts |= {1000 + i: " ".join(texts[i].split()[:-12]) + " " + prose(2500 + i, 25) for i in range(20)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    seen, likely = [], ensemble.likely
+
+    def both(filed, *rest):
+        out = likely(filed, *rest)
+        seen.extend({p for x in f.collect() for p in zip(*(y.tolist() for y in ensemble.filed_pairs(x["blob"])))} for f in (filed, out[0]))
+        return out
+
+    monkeypatch.setattr(ensemble, "likely", both)
+    degree = Counter(i for p in all_links(texts) for i in p)
+    got = {x["doc_id"]: x["n_links"] for x in ensemble.near_duplicates(df).collect()}
+    met, kept = seen
+    assert kept <= met and len(met) > 200 and len(kept) < 0.3 * len(met)
+    assert sum(degree.values()) >= 40 and got == {i: degree[i] for i in texts}
+
+
 def test_shingles_are_those_of_the_words():
     """Hashed together or alone, and as many as there are different runs of words."""
     odd = ["", None, "!!", "a", "A b", "a b c", "\u0130stanbul \u0391\u03a3 \u0391\u03a3 x", "\u00e91_\u00b2 x y", "a b c a b c", *[prose(i, 40 + i) for i in range(30)]]
