@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, cut, release_caches, slices
+from .common import ASCII_SPACE, cut, giving_back, slices
 
 SHARDS = 64
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -125,7 +125,6 @@ def postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        release_caches()
         for batch in slices(batches):
             keys, rows = [], []
             for r, text in enumerate(batch.column(1).to_pylist()):
@@ -137,7 +136,7 @@ def postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 k = np.concatenate(keys)
                 yield pa.RecordBatch.from_arrays([pa.array(k[:, 0]), pa.array(k[:, 1]), batch.column(0).take(pa.array(np.concatenate(rows)))], ["a", "b", "doc_id"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "a long, b long, doc_id long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(giving_back(run), "a long, b long, doc_id long")
 
 
 def reference_counts(posts: DataFrame) -> DataFrame:
@@ -237,7 +236,6 @@ def probed(docs: DataFrame, filters: DataFrame | None, min_chars: int, shards: i
         import xxhash
 
         held = None if shared is None else {k: CuckooFilter.loads(v) for k, v in shared.value.items()}
-        release_caches()
         for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             found = [marks(t, min_chars) for t in texts]
@@ -256,7 +254,7 @@ def probed(docs: DataFrame, filters: DataFrame | None, min_chars: int, shards: i
             extra = [pa.array([x[0] for x in found], pa.int64()), pa.array([xxhash.xxh3_64_intdigest(t or "") - (1 << 63) for t in texts], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), hits)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *made.names])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *made.fields]))
+    return docs.mapInArrow(giving_back(run), StructType([*docs.schema.fields, *made.fields]))
 
 
 def apply_index(docs: DataFrame, repeated: DataFrame, filters: DataFrame | None, min_chars: int = MIN_CHARS, shards: int = SHARDS) -> DataFrame:
@@ -287,7 +285,7 @@ def apply_index(docs: DataFrame, repeated: DataFrame, filters: DataFrame | None,
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(kept, pa.string()), batch.column(batch.num_columns - 2), pa.array(n_gone, pa.int64())], [*batch.schema.names[:-2], "kept", "n_lines", "n_dropped"])
 
     joined = keyed.select(*names, "k_id", "k_text", "n_lines").join(drops, ["k_id", "k_text"], "left").select(*names, "n_lines", "drops")
-    return clean.unionByName(joined.mapInArrow(assemble, clean.schema))
+    return clean.unionByName(joined.mapInArrow(giving_back(assemble), clean.schema))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shards: int = SHARDS) -> DataFrame:

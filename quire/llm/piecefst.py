@@ -16,7 +16,7 @@ zero) otherwise. A sequence whose every adjacent pair passes M is the merge
 result itself, so M leaves one path, and the shortest path is exact.
 
 No piece has U+2581 after another character, so texts fall apart before each
-run of it; segments are encoded once each per worker (bounded memory).
+run of it; segments are encoded once each per task (bounded memory).
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHES, release_caches, slices
+from .common import CACHES, giving_back, slices
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
@@ -402,7 +402,6 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", round_trip: bool =
         import numpy as np
         import pyarrow as pa
 
-        release_caches(_LOADED)
         t = transducer(shared.value)
         for batch in slices(batches):
             packed = [t.packed(x) for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
@@ -415,7 +414,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", round_trip: bool =
             yield pa.RecordBatch.from_arrays(columns, names)
 
     more = [StructField("ids", ArrayType(IntegerType(), True))] + [StructField("decoded", StringType())] * round_trip
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *more]))
+    return docs.mapInArrow(giving_back(run), StructType([*docs.schema.fields, *more]))
 
 
 _LOADED: dict[int, Transducer] = {}
@@ -423,7 +422,7 @@ CACHES.append(_LOADED)
 
 
 def transducer(model: bytes) -> Transducer:
-    """One compiled transducer a worker process, with its segment cache."""
+    """One compiled transducer, with its segment cache, while a task of encode runs."""
     key = hash(model)
     if key not in _LOADED:
         _LOADED.clear()

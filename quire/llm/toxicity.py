@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release_caches, slices
+from .common import cut, giving_back, slices
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W_]+")
@@ -133,13 +133,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_docs: int
     def train(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        release_caches()  # a reused worker may hold those of other operators
         held = [b for b in batches if len(b)]
         rows = pd.concat(held, ignore_index=True).drop_duplicates("doc_id").sort_values("doc_id") if held else pd.DataFrame({"text": [], "y": []})
         weights, bias = fit_bags(rows["text"].tolist(), rows["y"].tolist(), max_features=max_features)
         yield pd.DataFrame({"feature": [*weights, ""], "weight": [*weights.values(), bias]})
 
-    model = bags.repartition(1).mapInPandas(train, "feature string, weight double").collect()  # at most max_features + 1 rows
+    model = bags.repartition(1).mapInPandas(giving_back(train), "feature string, weight double").collect()  # at most max_features + 1 rows
     if not model:
         return {}, -30.0
     return {r["feature"]: r["weight"] for r in model if r["feature"]}, next(r["weight"] for r in model if not r["feature"])
@@ -203,7 +202,6 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        release_caches()
         scorer = Scorer(*shared.value)
         for batch in slices(batches):
             out = list(zip(*map(scorer.document, batch.column(batch.schema.get_field_index("text")).to_pylist()))) or [()] * 5
@@ -213,7 +211,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
     from pyspark.sql.types import StructType
 
     schema = StructType([*docs.schema.fields, *StructType.fromDDL(fields).fields])
-    return docs.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return docs.mapInArrow(giving_back(run), schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def offending(docs: DataFrame, model: tuple[dict[str, float], float], threshold: float = 0.5) -> DataFrame:
