@@ -499,6 +499,46 @@ def test_texts_of_common_lines_have_no_row_for_each_link(spark, monkeypatch):
     assert len(far) > 600 and sum(x["n"] for x in rows[0].filter("n > 0").collect()) == 2 * len(far) and rows[0].count() < len(far) / 2
 
 
+@pytest.mark.parametrize("rare", [ensemble.RARE, 4])
+def test_quoting_makes_no_copies(spark, rare, monkeypatch):
+    """Texts that hold the same short one are no copies of each other, though
+    all are linked; by pairs and in cells."""
+    monkeypatch.setattr(ensemble, "RARE", rare)
+    texts = {100: prose(3000, 12), 200: prose(3001, 90)}
+    texts |= {i: prose(3100 + i, 30) + " " + texts[100] + " " + prose(3200 + i, 50) for i in range(20)}
+    texts |= {300 + i: texts[i] + " " + prose(3300 + i, 8) for i in range(5)} | {400 + i: texts[100] + f" more{i}" for i in range(3)} | {500: texts[100] + " " + prose(3400, 5)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    size, links = {i: len(ensemble.shingles(t)) for i, t in texts.items()}, all_links(texts)
+
+    def roots(pairs) -> dict[int, int]:
+        to = {i: i for i in texts}
+        for _ in texts:
+            for a, b in pairs:
+                to[a] = to[b] = min(to[a], to[b])
+        return to
+
+    got = {x["doc_id"]: x for x in ensemble.near_duplicates(df, copy_ratio=2.0).collect()}
+    degree = Counter(i for p in links for i in p)
+    assert {i: x["n_links"] for i, x in got.items()} == {i: degree[i] for i in texts}
+    assert {i: x["linked_id"] for i, x in got.items()} == roots(links)
+    copies = roots([(a, b) for a, b in links if max(size[a], size[b]) <= 2 * min(size[a], size[b])])
+    assert {i: x["class_id"] for i, x in got.items()} == copies and len({copies[i] for i in range(20)}) == 20
+
+
+def test_packed_entries_come_back():
+    """Counts of one byte and of four, with flags and without."""
+    r = np.random.default_rng(1)
+    for many in (5, 900):
+        text = np.repeat(np.arange(4), [many, 2, 1, 3])
+        key, flag, t, n = r.integers(0, 1 << 32, len(text), dtype=np.uint32), np.arange(len(text)) % many < 2, r.integers(-(1 << 62), 1 << 62, 4), np.array([many, 7, 1, 3])
+        flag = np.concatenate([np.sort(flag[text == i])[::-1] for i in range(4)])
+        for flags in (False, True):
+            ((bucket, blob),) = ensemble.pack(np.zeros(len(text), dtype=np.int32), text, key, t, *((flag, n) if flags else ()))
+            got = ensemble.unpack(blob, np.uint32, flags)
+            assert bucket == 0 and (got[0] == t).all() and (got[2] == text).all() and (got[3] == key).all() and (not flags or (got[1] == n).all() and (got[4] == flag).all())
+            assert len(blob) == 8 + 4 * len(text) + 4 * (8 + (1 if many < 256 else 4) * (1 + flags) + 4 * flags)
+
+
 def test_pairs_of_a_few_common_lines_are_not_compared(spark, monkeypatch):
     """Of pairs that share a band most share only a line: their sets aren't
     sent; no pair at the threshold goes with them."""
