@@ -525,6 +525,26 @@ def test_quoting_makes_no_copies(spark, rare, monkeypatch):
     assert {i: x["class_id"] for i, x in got.items()} == copies and len({copies[i] for i in range(20)}) == 20
 
 
+def test_large_sets_travel_once(spark, monkeypatch):
+    """A text that holds many short ones is in one group with them, not in one
+    for each."""
+    short = {i: prose(3500 + i, 12) for i in range(30)}
+    texts = short | {100 + k: " ".join([prose(3600 + k, 90), *[short[i] for i in range(k, 30, 3)], prose(3700 + k, 90)]) for k in range(3)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    seen, celled = [], ensemble.celled
+
+    def both(held):
+        out = celled(held)
+        seen.append(Counter(r["node"] for r in out[1].collect()))
+        return out
+
+    monkeypatch.setattr(ensemble, "celled", both)
+    got = {x["doc_id"]: x["n_links"] for x in ensemble.near_duplicates(df).collect()}
+    assert got == {i: 1 for i in short} | {100 + k: 10 for k in range(3)}
+    ids = {r["doc_id"]: r["t"] for r in df.select("doc_id", ensemble.hash128("text")[0].alias("t")).collect()}
+    assert [seen[-1][ids[100 + k]] for k in range(3)] == [1, 1, 1]
+
+
 def test_packed_entries_come_back():
     """Counts of one byte and of four, with flags and without."""
     r = np.random.default_rng(1)
