@@ -8,6 +8,8 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import public_tokenizers
@@ -545,6 +547,65 @@ def test_large_sets_travel_once(spark, monkeypatch):
     assert [seen[-1][ids[100 + k]] for k in range(3)] == [1, 1, 1]
 
 
+def test_far_sets_are_sieved(spark, monkeypatch):
+    """Of a large text only what its short ones may hold is sent; links are as
+    by brute force, also where a large text has near copies."""
+    short = {i: prose(5500 + i, 12) for i in range(12)}
+    texts = short | {100 + k: " ".join([prose(5600 + k, 300), *[short[i] for i in range(k, 12, 4)], prose(5700 + k, 300)]) for k in range(4)}
+    texts |= {200: texts[100] + " one more", 300: " ".join(prose(5503, 12).split()[:7]) + " " + prose(5800, 400)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    seen, sent = [], ensemble.sent_sets
+
+    def both(*args):
+        out = sent(*args)
+        seen.extend(out.select("far", "n", F.octet_length("s").alias("bytes")).collect())
+        return out
+
+    monkeypatch.setattr(ensemble, "sent_sets", both)
+    got = {x["doc_id"]: x["n_links"] for x in ensemble.near_duplicates(df).collect()}
+    degree = Counter(i for p in all_links(texts) for i in p)
+    assert got == {i: degree[i] for i in texts} and degree[100] == 4
+    large = [x for x in seen if x["far"] and x["n"] > 300]
+    assert len(large) >= 5 and all(x["bytes"] < 5 * x["n"] / 4 for x in large)
+    assert all(x["bytes"] == 5 * x["n"] for x in seen if not x["far"] or x["n"] < 20)
+
+
+def test_filing_takes_turns(spark, monkeypatch):
+    """No turn files nearly all, together they file every entry, and no stored
+    posting outlives its use."""
+    texts = {i: prose(6000 + i, 60 + 9 * i) for i in range(60)} | {100 + i: prose(6000 + i, 60 + 9 * i) + " x y z" for i in range(30)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(ensemble, "BUCKET_ENTRIES", 1000)
+    sizes, gone, packed, discarded = [], [], ensemble.packed, ensemble.discarded
+
+    def count(*args):
+        out = packed(*args)
+        sizes.append(sum(len(x["blob"]) for x in out.collect()))
+        return out
+
+    monkeypatch.setattr(ensemble, "packed", count)
+    monkeypatch.setattr(ensemble, "discarded", lambda x: gone.append(x.inputFiles()) or discarded(x))
+    got = {x["doc_id"]: x["n_links"] for x in ensemble.near_duplicates(df).collect()}
+    degree = Counter(i for p in all_links(texts) for i in p)
+    assert got == {i: degree[i] for i in texts}
+    assert len(sizes) == 2 and max(sizes) < 0.8 * sum(sizes) and sum(map(len, gone)) and not any(Path(urlparse(f).path).exists() for x in gone for f in x)
+
+
+def test_places_in_a_group_come_back():
+    """Each bucket of a group, with flags and without; a text is listed once a group."""
+    r = np.random.default_rng(2)
+    text = np.repeat(np.arange(50), 30)
+    key, t, n, place = r.integers(0, 1 << 32, len(text), dtype=np.uint32), np.sort(r.integers(-(1 << 62), 1 << 62, 50)), np.full(50, 30), r.integers(0, ensemble.GROUP, len(text))
+    flag = np.arange(len(text)) % 30 < 7
+    for flags in (False, True):
+        ((_, blob),) = ensemble.pack(np.zeros(len(text), dtype=np.int32), text, key, t, flag if flags else None, n if flags else None, place)
+        assert len(blob) == 8 + 4 * len(text) + 2 * -(-len(text) // 8) + 50 * (8 + 1 + 5 * flags)
+        for k in range(ensemble.GROUP):
+            own, got = place == k, ensemble.unpack(blob, np.uint32, flags, k)
+            assert (got[0][got[2]] == t[text[own]]).all() and (got[3] == key[own]).all() and len(got[0]) == len(set(text[own].tolist()))
+            assert (got[4] == (flag[own] if flags else False)).all() and (not flags or (got[1] == 30).all())
+
+
 def test_packed_entries_come_back():
     """Counts of one byte and of four, with flags and without."""
     r = np.random.default_rng(1)
