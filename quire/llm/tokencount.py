@@ -83,15 +83,16 @@ class Splitter:
         parts = self.cut_at.split(text)
         return [x for part in parts for x in find(part)], len(parts) - 1
 
-    def words(self, text: str) -> tuple[dict[str, int], list[str], int]:
-        """Frequencies of words that follow a space, other pre-tokens, added tokens."""
+    def words(self, text: str) -> tuple[list[str], list[str], int]:
+        """Words that follow a space, in order, other pre-tokens, added tokens."""
         if "  " in text or " \n" in text or "\n " in text or any(a in text for a in self.added) or unusual(text):
-            return {}, *self.split(text)
+            return [], *self.split(text)
         first, _, rest = text.partition(" ")
-        return Counter(rest.split(" ")) if _ else {}, self.find(first), 0
+        return rest.split(" ") if _ else [], self.find(first), 0
 
     def of(self, word: str) -> list[str]:
-        return self.find(" " + word)
+        """Pre-tokens of a word that follows a space; ASCII letters alone are one."""
+        return [" " + word] if word.isalpha() and word.isascii() else self.find(" " + word)
 
 
 def piece_counter(tokenizer_path: str):
@@ -115,11 +116,12 @@ def pretokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         import pyarrow as pa
 
         splitter, words, loose = Splitter(tokenizer_path), Counter(), Counter()
+        of, get = splitter.of, loose.get
 
         def flush():
             for word, freq in words.items():
-                for x in splitter.of(word):
-                    loose[x] += freq
+                for x in of(word):
+                    loose[x] = get(x, 0) + freq
             return pa.RecordBatch.from_arrays([pa.array(list(loose.keys()), pa.string()), pa.array(list(loose.values()), pa.int64())], ["pretoken", "freq"])
 
         for batch in batches:
@@ -174,7 +176,17 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, head:
         import pyarrow as pa
 
         splitter, get = Splitter(tokenizer_path), dict(zip(*known.value)).get
-        seen: dict[str, tuple[int, tuple]] = {}
+        rare: dict[str, tuple] = {}  # the unknown pre-tokens of words in seen that have some
+
+        class Seen(dict):  # pieces of the known pre-tokens of a word
+            def __missing__(self, word: str) -> int:
+                n, unknown = parts(splitter.of(word))
+                self[word] = n
+                if unknown:
+                    rare[word] = unknown
+                return n
+
+        seen = Seen()
 
         def parts(found: list[str]) -> tuple[int, tuple]:
             """Pieces of known pre-tokens, and the unknown ones."""
@@ -192,19 +204,16 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024, head:
                     total += n
                     for x in unknown:
                         tail[x] = tail.get(x, 0) + 1
-                    for word, freq in spaced.items():
-                        hit = seen.get(word)
-                        if hit is None:
-                            if len(seen) >= 300_000:
-                                seen.clear()
-                            hit = seen[word] = parts(splitter.of(word))
-                        total += hit[0] * freq
-                        for x in hit[1]:
-                            tail[x] = tail.get(x, 0) + freq
+                    if len(seen) >= 300_000:
+                        seen.clear(), rare.clear()
+                    total += sum(map(seen.__getitem__, spaced))
+                    for word in filter(rare.__contains__, spaced):
+                        for x in rare[word]:
+                            tail[x] = tail.get(x, 0) + 1
                 # The first row of a document carries what is summed already, under a key that no pre-token has.
                 out[0].append(key), out[1].append(doc_id), out[2].append(len(text.encode()) if text else 0), out[3].append(total), out[4].append(f"{key} {key}"), out[5].append(0)
-                for word, freq in tail.items():
-                    out[0].append(key), out[1].append(None), out[2].append(0), out[3].append(0), out[4].append(word), out[5].append(freq)
+                zeros = [0] * len(tail)
+                out[0].extend([key] * len(tail)), out[1].extend([None] * len(tail)), out[2].extend(zeros), out[3].extend(zeros), out[4].extend(tail), out[5].extend(tail.values())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()))], ["key", "doc_id", "n_bytes", "part", "pretoken", "freq"])
 
     keyed = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")

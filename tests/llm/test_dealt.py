@@ -764,6 +764,18 @@ def test_cuckoo_filter():
 # 9 --------------------------------------------------------------------------
 
 
+def test_plain_words_need_no_expression():
+    """Most words are ASCII letters: they are one pre-token without a search;
+    every word is split as the expression splits it."""
+    splitter = tokencount.Splitter(public_tokenizers.path("byte_bpe_50k.json"))
+    find, calls = splitter.find, []
+    splitter.find = lambda x: calls.append(x) or find(x)
+    plain = ["a", "word", "Word", "WORD", "s", "t", "re", "ll"]
+    assert [splitter.of(w) for w in plain] == [[" " + w] for w in plain] == [find(" " + w) for w in plain] and not calls
+    for w in ["", "it's", "'s", "don't", "a\nb", "\n", "x1", "42", "end.", "naïve", "ªb", "日本", "a_b", "--", "x\n\ny", "''", "'re", "İ"]:
+        assert splitter.of(w) == find(" " + w)
+
+
 @pytest.mark.parametrize("head", [3, tokencount.HEAD])
 def test_token_counts(docs, none, head):
     path = public_tokenizers.path("byte_bpe_50k.json")
