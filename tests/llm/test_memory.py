@@ -1,8 +1,8 @@
-"""What workers hold once a task is over."""
+"""What workers hold once a task is over, and disks once a query is."""
 
 import pyarrow as pa
 
-from quire.llm import piecefst
+from quire.llm import common, piecefst
 from quire.llm.queries import tokenizer_path
 
 from .test_dealt import prose
@@ -23,3 +23,15 @@ def test_idle_workers_hold_no_pieces(spark, monkeypatch):
     broken.close()
     assert not piecefst._LOADED
     assert [b.column(2).to_pylist() for b in run(iter(batches))] == first == [[piecefst.Transducer(model).encode(prose(i, 50)), []] for i in range(3)]
+
+
+def test_shuffle_files_of_the_last_query_go(spark):
+    """Also those of the very last one, whose end the listener bus still has."""
+    known = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    for _ in range(3):
+        before = set(known.keys().mkString(" ").split())
+        rows = common.stored(spark.range(1000).repartition(7))
+        made = set(known.keys().mkString(" ").split()) - before
+        common.released(spark)
+        assert made and not made & set(known.keys().mkString(" ").split())
+        assert rows.count() == 1000
