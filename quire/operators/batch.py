@@ -85,18 +85,20 @@ def processed_rows(grids: DataFrame, grid: str) -> DataFrame:
     empty columns dropped, a descriptor header promoted, header cells moved
     over their bodies, two header rows made one, names made unique. Adds
     headers, body, notes and the numbers of promoted rows and moves."""
-    g = grids.withColumn("_r", tab.rectangle(F.col(grid)))
+    g = tab.settled(grids.withColumn("_r", tab.rectangle(F.col(grid))))
     body, notes = tab.split_notes(F.col("_r"))
     blank_first = F.forall(F.col("_r")[0], lambda x: x == "")
     kept = F.when(blank_first, F.concat(F.slice("_r", 1, 1), body)).otherwise(body)  # a blank header row is no blank row
-    g = g.withColumns({"notes": notes, "_k": kept}).filter(F.size("_k") > 0)
-    g = g.withColumn("_c", tab.compact(F.col("_k"))).filter(F.size(F.col("_c")[0]) > 0)
-    g = g.withColumn("_p", hd.promoted("_c")).withColumn("_g", F.col("_p.grid"))
-    g = g.withColumn("_a", hd.realigned("_g")).withColumn("_h", F.col("_a.grid")).withColumn("_m", hd.is_multi_row("_h"))
-    single = tab.unique_headers(F.transform(F.col("_h")[0], lambda x, i: F.when(F.trim(x) == "", F.concat(F.lit("Column "), (i + 1).cast("string"))).otherwise(F.trim(x))))
+    g = tab.settled(g.withColumns({"notes": notes, "_k": kept})).filter(F.size("_k") > 0)
+    g = tab.settled(g.withColumn("_c", tab.compact(F.col("_k")))).filter(F.size(F.col("_c")[0]) > 0)
+    g = tab.settled(g.withColumn("_p", hd.promoted("_c"))).withColumn("_g", F.col("_p.grid"))
+    g = tab.settled(g.withColumn("_a", hd.realigned("_g"))).withColumn("_h", F.col("_a.grid"))
+    g = tab.settled(g.withColumn("_m", hd.is_multi_row("_h")))
+    single = F.transform(F.col("_h")[0], lambda x, i: F.when(F.trim(x) == "", F.concat(F.lit("Column "), (i + 1).cast("string"))).otherwise(F.trim(x)))
+    g = tab.settled(g.withColumn("_n", F.when(F.col("_m"), hd.joined("_h")).otherwise(single)))
     rest = F.slice("_h", F.when(F.col("_m"), 3).otherwise(2), F.greatest(F.size("_h"), F.lit(1)))
-    out = g.withColumns({"headers": F.when(F.col("_m"), hd.flattened("_h")).otherwise(single), "body": rest, "promoted": F.col("_p.n"), "moves": F.col("_a.shifts"), "multi": F.col("_m")})
-    return out.drop("_r", "_k", "_c", "_p", "_g", "_a", "_h", "_m")
+    out = g.withColumns({"headers": tab.unique_headers(F.col("_n")), "body": rest, "promoted": F.col("_p.n"), "moves": F.col("_a.shifts"), "multi": F.col("_m")})
+    return out.drop("_r", "_k", "_c", "_p", "_g", "_a", "_h", "_m", "_n")
 
 
 def ordered_findings(findings: DataFrame, keys: list[str]) -> DataFrame:

@@ -77,8 +77,13 @@ def is_multi_row(grid: str) -> Column:
 
 
 def flattened(grid: str) -> Column:
+    """Names of two header rows, repeated ones numbered."""
+    return unique_headers(joined(grid))
+
+
+def joined(grid: str) -> Column:
     """Names of two header rows: parent / child, a blank parent taking the one
-    before it where there is a child; repeated names numbered."""
+    before it where there is a child."""
     g = F.col(grid)
     pairs = F.arrays_zip(F.transform(g[0], lambda x: F.trim(x)).alias("p"), F.transform(g[1], lambda x: F.trim(x)).alias("c"))
 
@@ -89,7 +94,7 @@ def flattened(grid: str) -> Column:
         return F.struct(F.when(z["p"] != "", z["p"]).otherwise(state["last"]).alias("last"), F.concat(state["names"], F.array(name)).alias("names"))
 
     out = F.aggregate(pairs, F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("names")), step)
-    return unique_headers(out["names"])
+    return out["names"]
 
 
 def placeholder_ratio(headers: Column) -> Column:

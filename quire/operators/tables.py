@@ -197,11 +197,11 @@ CELLS = {
 
 def typed_rows(rows: DataFrame) -> DataFrame:
     """rows with their named cells and `unit_type` (null: not technical)."""
-    named = _settled(keyed(rows).withColumns({k: cell(*v) for k, v in CELLS.items()}))
-    return _settled(named.withColumn("unit_type", F.expr(c_sql(UNIT_RULES))))
+    named = settled(keyed(rows).withColumns({k: cell(*v) for k, v in CELLS.items()}))
+    return settled(named.withColumn("unit_type", F.expr(c_sql(UNIT_RULES))))
 
 
-def _settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
     """The same rows behind a generator, so that later uses read the columns
     instead of repeating their expressions, which would multiply."""
     return df.select(F.inline(F.array(F.struct("*"))))

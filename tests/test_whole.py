@@ -52,3 +52,9 @@ def test_html_blocks_of_all_kinds(spark):
                 want[r["page_id"], n, {"h": "heading", "p": "paragraph", "l": "list"}[m[1][0].lower()], text] += 1
     got = Counter((r["page_id"], r["block_no"], r["kind"], r["text"]) for r in QUERIES["html_blocks"](spark, DATA).collect())
     assert got == want and {k[2] for k in want} == {"heading", "paragraph", "list"}
+
+
+def test_row_pipeline_repeats_no_steps(spark):
+    """Each step reads the columns of the one before it, not their expressions."""
+    plan = QUERIES["table_row_pipeline"](spark, DATA)._jdf.queryExecution().optimizedPlan()
+    assert len(plan.toString()) < 30_000
