@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import parts, table
 
 # Sentences in the manner of a specification, one a part.
 SENTENCES = [
@@ -54,9 +54,13 @@ GEO_SQL = """geo AS (SELECT l_orderkey // 8 AS doc_id, CAST(l_orderkey % 8 AS IN
 
 
 def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, page, line_no, top, bottom, x0, x1, font_size, text)"""
-    sql = GEO_SQL[GEO_SQL.index("SELECT") : -1].replace("//", "div").replace("END::DOUBLE", "END").replace("16.0", "16.0D").replace("11.0", "11.0D").replace("9.5", "9.5D").replace("FROM lineitem", "FROM {lineitem}")
-    return spark.sql(sql, lineitem=table(spark, sf_dir, "lineitem"))
+    """(doc_id, page, line_no, top, bottom, x0, x1, font_size, text), hashed by
+    (doc_id, page): windows over pages need no further shuffle."""
+    li = table(spark, sf_dir, "lineitem")
+    paged = li.select(F.expr("l_orderkey div 8").alias("doc_id"), F.expr("CAST(l_orderkey % 8 AS INT)").alias("page"), *[c for c in li.columns if c.startswith("l_")]).repartition(parts(li), "doc_id", "page")
+    sql = GEO_SQL[GEO_SQL.index("SELECT") : -1].replace("//", "div").replace("END::DOUBLE", "END").replace("16.0", "16.0D").replace("11.0", "11.0D").replace("9.5", "9.5D").replace("FROM lineitem", "FROM {paged}")
+    sql = sql.replace("l_orderkey div 8 AS doc_id, CAST(l_orderkey % 8 AS INT) AS page", "doc_id, page").replace("PARTITION BY l_orderkey", "PARTITION BY doc_id, page")  # the same groups
+    return spark.sql(sql, paged=paged)
 
 
 # Table rows: ten kinds of header sets.

@@ -19,5 +19,15 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     )
 
 
+TASK_BYTES = 4 << 20  # of a table's files, for each partition of parts()
+
+
+def parts(whole: DataFrame) -> int:
+    """Partitions for rows of a table: they grow with its files, so that what
+    a task sorts doesn't. repartition() to a number isn't coalesced, either."""
+    size = int(whole._jdf.queryExecution().analyzed().stats().sizeInBytes())
+    return max(whole.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
