@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import sentence_list
 from ..operators import assembly as op
-from ..session import table
+from ..session import parts, table
 from .corpus_data import GEO_SQL, ROWS_SQL, SPEC_SQL, geo, rows, spec
 from .q_figures import FIG_SQL, figs
 from .q_lines import PAGE
@@ -87,7 +87,8 @@ CHARS_SQL = "ch AS (SELECT doc_id, page, line_no, i AS char_no, CASE WHEN (line_
 SELECT g.doc_id, g.page, g.line_no, s.font_size, font_name, CASE WHEN font_name IS NOT NULL THEN coalesce(nullif(concat_ws('+', CASE WHEN regexp_matches(low, 'courier|mono|code') THEN 'monospace' END, CASE WHEN regexp_matches(low, 'bold|black|heavy') THEN 'bold' END, CASE WHEN regexp_matches(low, 'italic|oblique') THEN 'italic' END), ''), 'regular') END AS style_hint,
 round(greatest(bottom - top, 0), 2) AS line_height, round(greatest(x0, 0), 2) AS left_indent, round(greatest(120 - x1, 0), 2) AS right_indent, CASE WHEN bottom <= 36 THEN 'top' WHEN top >= 164 THEN 'bottom' ELSE 'middle' END AS y_band FROM geo g LEFT JOIN s USING (doc_id, page, line_no) LEFT JOIN f USING (doc_id, page, line_no)""")
 def line_metadata(spark: SparkSession, d: str) -> DataFrame:
-    lines, keys = geo(spark, d), [*PAGE, "line_no"]
+    keys = [*PAGE, "line_no"]
+    lines = geo(spark, d).repartition(parts(table(spark, d, "lineitem")), *keys)
     i, n = F.col("char_no"), F.col("line_no")
     ch = lines.select(*keys, "font_size", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("char_no"))
     name = F.expr("CASE WHEN line_no % 5 > 0 THEN CASE (line_no + char_no div 2) % 4 WHEN 0 THEN 'Helvetica' WHEN 1 THEN 'Arial-BoldItalic' WHEN 2 THEN 'CourierNew' ELSE 'Heavy-Oblique' END END")
