@@ -43,13 +43,16 @@ def with_page_context(warnings: DataFrame, pages: DataFrame, keys: list[str]) ->
     return out.select(*[fill(c, f"page_{c}") if c in ("chars", "images") else F.col(c) for c in warnings.columns])
 
 
-def by_selected_page(warnings: DataFrame, selection: DataFrame, keys: list[str], order: str) -> DataFrame:
+def by_selected_page(warnings: DataFrame, selection: DataFrame, keys: list[str], order: str, partitions: int | None = None) -> DataFrame:
     """`place` of each warning in its document: by the place of its page in
-    the selection (keys, page, ordinal), unselected pages last, stable."""
+    the selection (keys, page, ordinal), unselected pages last, stable.
+    partitions: of documents; null leaves them to the session."""
     from pyspark.sql.window import Window
 
     w = Window.partitionBy(*keys).orderBy(F.coalesce("ordinal", F.lit(1 << 30)), order)
-    return warnings.join(selection, [*keys, "page"], "left").withColumn("place", F.row_number().over(w)).drop("ordinal")
+    placed = warnings.join(selection, [*keys, "page"], "left")
+    placed = placed if partitions is None else placed.repartition(partitions, *keys)
+    return placed.withColumn("place", F.row_number().over(w)).drop("ordinal")
 
 
 def zero_filled(rows: DataFrame, keys: list[str], column: str, names: tuple[str, ...]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import review as op
-from ..session import table
+from ..session import parts, table
 from .corpus_data import ROWS_SQL, SPEC_SQL, rows, spec
 from .registry import query
 
@@ -25,15 +25,17 @@ def warnings(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {WARN_SQL} SELECT doc_id, code, count(*) AS warnings, count(*) FILTER ({_ADVICE}) AS advisory, count(*) FILTER (NOT {_ADVICE} AND (code LIKE '%\\_FAILED' ESCAPE '\\' OR (exits AND domain IN ('ocr', 'table', 'image')))) AS exit_relevant FROM ctx GROUP BY ALL""")
 def warning_policy(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 4).cast("int").alias("page_chars"), (F.col("o_custkey") % 3).cast("int").alias("page_images"))
-    w = op.with_page_context(warnings(spark, d), pages, ["doc_id"])
+    n = parts(table(spark, d, "lineitem"))
+    w = op.with_page_context(warnings(spark, d).repartition(n, "doc_id"), pages.repartition(n, "doc_id"), ["doc_id"])
     return w.groupBy("doc_id", "code").agg(F.count("*").alias("warnings"), F.count(F.when(op.advisory(), 1)).alias("advisory"), F.count(F.when(op.affects_exit(), 1)).alias("exit_relevant"))
 
 
 @query(f"""WITH {WARN_SQL}, sel AS (SELECT DISTINCT doc_id, page, 10 - page AS ordinal FROM warn WHERE page % 3 <> 0), r AS (SELECT warn.doc_id, warn.page, seq, row_number() OVER (PARTITION BY warn.doc_id ORDER BY coalesce(ordinal, 1000000), seq) AS place FROM warn LEFT JOIN sel ON warn.doc_id = sel.doc_id AND warn.page = sel.page) SELECT doc_id, seq, min(CAST(place AS INT)) AS place, count(*) AS n FROM r GROUP BY doc_id, seq""")
 def warning_order(spark: SparkSession, d: str) -> DataFrame:
-    w = warnings(spark, d)
+    n = parts(table(spark, d, "lineitem"))
+    w = warnings(spark, d).repartition(n, "doc_id", "page")
     selection = w.filter("page % 3 <> 0").select("doc_id", "page", (10 - F.col("page")).alias("ordinal")).distinct()
-    return op.by_selected_page(w, selection, ["doc_id"], "seq").groupBy("doc_id", "seq").agg(F.min("place").alias("place"), F.count("*").alias("n"))
+    return op.by_selected_page(w, selection, ["doc_id"], "seq", n).groupBy("doc_id", "seq").agg(F.min("place").alias("place"), F.count("*").alias("n"))
 
 
 @query("""WITH a AS (SELECT p_size AS doc_id, CASE p_partkey % 5 WHEN 0 THEN 'recovered_exact' WHEN 1 THEN 'suppressed_ambiguous' WHEN 2 THEN 'suppressed_no_candidate' WHEN 3 THEN 'other' END AS reason FROM part), n AS (SELECT unnest(['recovered_exact', 'recovered_context_validated', 'suppressed_no_candidate', 'suppressed_ambiguous']) AS name)
