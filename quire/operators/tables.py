@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.batches import giving_back, slices
 from ..functions.rules import ERROR_CLASS, HEX, POINTER, RETRY, SCOPE, STATUS_GROUP
 from ..functions.text import clean_key
 from .semantics import c_sql
@@ -147,16 +149,35 @@ def ranked(candidates: DataFrame, keys: list[str], page_area: float, most: int =
 def pruned(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """Greedy by rank: a candidate goes if an accepted one contains it to 90 %.
     A page's candidates (at most 20 by rank) are one group."""
-    def keep(pdf):
-        pdf, kept = pdf.sort_values("rank"), []
-        for r in pdf.itertuples():
-            area = max((r.x1 - r.x0) * (r.bottom - r.top), 1e-9)
-            inside = any(max(0.0, min(r.x1, k.x1) - max(r.x0, k.x0)) * max(0.0, min(r.bottom, k.bottom) - max(r.top, k.top)) >= 0.9 * area for k in kept)
-            if not inside:
-                kept.append(r)
-        return pdf[pdf["candidate_id"].isin([k.candidate_id for k in kept])]
-
-    return candidates.groupBy(*keys).applyInPandas(keep, candidates.schema)
+    def keep(boxes: list[tuple]) -> set:
+        kept = []
+        for box in boxes:
+            _, x0, top, x1, bottom = box
+            area = max((x1 - x0) * (bottom - top), 1e-9)
+            if not any(max(0.0, min(x1, k[3]) - max(x0, k[1])) * max(0.0, min(bottom, k[4]) - max(top, k[2])) >= 0.9 * area for k in kept):
+                kept.append(box)
+        return {k[0] for k in kept}
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in slices(batches, 1000):
+            pages = batch.column(0)
+            rows = pages.flatten().field("row")
+            sides = [rows.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False).tolist() for c in ("x0", "top", "x1", "bottom")]
+            boxes = list(zip(rows.field("candidate_id").to_pylist(), *sides))
+            ends, start, mask = np.cumsum(pages.value_lengths().to_numpy()).tolist(), 0, []
+            for end in ends:
+                page, start = boxes[start:end], end
+                kept = keep(page)
+                mask += [box[0] in kept for box in page]
+            left = rows.filter(pa.array(mask, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([left.field(c) for c in names], names)
+
+    names = candidates.columns
+    pages = candidates.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", F.struct(*names).alias("row")))).alias("rows"))
+    return pages.select("rows").mapInArrow(giving_back(run), candidates.schema)
 
 
 # --- rows ----------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import ERROR_CLASS, POINTER, RETRY, SCOPE, STATUS_GROUP
 from ..operators import tables as op
-from ..session import table
+from ..session import parts, table
 from .corpus_data import ROWS_SQL, rows, sql_cell
 from .registry import query, sql_case
 
@@ -113,9 +113,10 @@ CAND_SQL = """cand AS (SELECT l_orderkey // 30 AS page, row_number() OVER (PARTI
 def candidates(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql.window import Window
 
-    li = table(spark, d, "lineitem")
+    whole = table(spark, d, "lineitem")
+    li = whole.withColumn("page", F.expr("l_orderkey div 30")).repartition(parts(whole), "page")
     return li.select(
-        F.expr("l_orderkey div 30").alias("page"), F.row_number().over(Window.partitionBy(F.expr("l_orderkey div 30")).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).alias("candidate_id"), (F.col("l_suppkey") % 4 * 50).cast("double").alias("x0"), (F.col("l_partkey") % 5 * 60).cast("double").alias("top"),
+        "page", F.row_number().over(Window.partitionBy("page").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).alias("candidate_id"), (F.col("l_suppkey") % 4 * 50).cast("double").alias("x0"), (F.col("l_partkey") % 5 * 60).cast("double").alias("top"),
         (F.col("l_suppkey") % 4 * 50 + 40 + F.col("l_quantity")).alias("x1"), (F.col("l_partkey") % 5 * 60 + 50).cast("double").alias("bottom"), (F.col("l_discount") * 5).alias("quality"), F.col("l_returnflag").alias("strategy"),
     )
 
