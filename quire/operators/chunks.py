@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.batches import giving_back, slices
 from ..functions.ids import parent_section
 
 TECHNICAL_PRIORITY = dict(status_code=90, command_pointer_field=94, command_dword_field=94, command_opcode=96)
@@ -53,11 +55,16 @@ def split_text(text: str | None, max_chars: int) -> list[str]:
 
 def split_chunks(df: DataFrame, text: str, max_chars: int) -> DataFrame:
     """One row a part: part_index from 1, part_count, part."""
-    @F.pandas_udf("array<string>")
-    def run(batch):
-        return batch.map(lambda t: split_text(t, max_chars))
+    from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-    parts = df.withColumn("parts", run(text))
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in slices(batches, 200):
+            cut = [split_text(t, max_chars) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cut, pa.list_(pa.string()))], [*batch.schema.names, "parts"])
+
+    parts = df.mapInArrow(giving_back(run), StructType([*df.schema.fields, StructField("parts", ArrayType(StringType()))]))
     return parts.select(*df.columns, F.size("parts").alias("part_count"), F.posexplode("parts").alias("pos", "part")).withColumn("part_index", F.col("pos") + 1).drop("pos")
 
 
