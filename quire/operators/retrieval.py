@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.batches import giving_back, slices
 from ..functions.text import tokens
 
 POSTINGS = 2_000_000  # query postings that are sent to all tasks
+HITS = 1 << 20  # that a task counts at a time, and those of one more chunk
 
 
 def retrieval_text(embedding: str = "embedding_text", text: str = "text"):
@@ -56,33 +58,36 @@ def _scanned(chunks: DataFrame, postings, k: int) -> DataFrame:
 
         ids, lists = shared.value
         best = [np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)]
-        step = max(1, 2_000_000 // max(1, len(ids)))
-        for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
-                rows, found = [], []
-                for i, tok in enumerate(batch.column(2).to_pylist()):
-                    hit = [lists[t] for t in tok or () if t in lists]
-                    if hit:
-                        found.append(np.concatenate(hit))
-                        rows.append(np.full(len(found[-1]), i))
-                if not rows:
-                    continue
-                pair, count = np.unique(np.concatenate(found) * np.int64(batch.num_rows) + np.concatenate(rows), return_counts=True)
-                q, r = pair // batch.num_rows, pair % batch.num_rows
-                n = batch.column(3).to_numpy(zero_copy_only=False).astype(np.float64)[r]
-                priority = np.nan_to_num(batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64))[r]
-                mine = [q, batch.column(0).to_numpy(zero_copy_only=False)[r], count + count / n + priority / 1000.0]
-                q, c, s = (np.concatenate(x) for x in zip(best, mine))
-                order = np.lexsort((c, -s, q))
-                q, c, s = q[order], c[order], s[order]
-                first = np.concatenate([[True], q[1:] != q[:-1]])
-                place = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
-                best = [x[place < k] for x in (q, c, s)]
+
+        def merged(batch, rows: list, found: list) -> list:
+            pair, count = np.unique(np.concatenate(found) * np.int64(batch.num_rows) + np.concatenate(rows), return_counts=True)
+            q, r = pair // batch.num_rows, pair % batch.num_rows
+            n = batch.column(3).to_numpy(zero_copy_only=False).astype(np.float64)[r]
+            priority = np.nan_to_num(batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64))[r]
+            mine = [q, batch.column(0).to_numpy(zero_copy_only=False)[r], count + count / n + priority / 1000.0]
+            q, c, s = (np.concatenate(x) for x in zip(best, mine))
+            order = np.lexsort((c, -s, q))
+            q, c, s = q[order], c[order], s[order]
+            first = np.concatenate([[True], q[1:] != q[:-1]])
+            place = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
+            return [x[place < k] for x in (q, c, s)]
+
+        for batch in slices(batches, 1000):
+            rows, found, held = [], [], 0
+            for i, tok in enumerate(batch.column(2).to_pylist()):
+                hit = [lists[t] for t in tok or () if t in lists]
+                if hit:
+                    found.append(np.concatenate(hit))
+                    rows.append(np.full(len(found[-1]), i))
+                    held += len(found[-1])
+                if held > HITS:
+                    best, rows, found, held = merged(batch, rows, found), [], [], 0
+            if rows:
+                best = merged(batch, rows, found)
         if len(best[0]):
             yield pa.RecordBatch.from_arrays([pa.array(ids[best[0]].astype(np.int64)), pa.array(best[1]), pa.array(best[2])], ["query_id", "chunk_id", "score"])
 
-    return chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.coalesce("priority", F.lit(0)).cast("double").alias("priority"), "tok", "n_tok").mapInArrow(run, "query_id long, chunk_id long, score double")
+    return chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.coalesce("priority", F.lit(0)).cast("double").alias("priority"), "tok", "n_tok").mapInArrow(giving_back(run), "query_id long, chunk_id long, score double")
 
 
 def query_metrics(found: DataFrame, relevant: DataFrame, queries: DataFrame) -> DataFrame:

@@ -1,9 +1,16 @@
 """Queries over whole tables that have no SQL, against brute force."""
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
-from quire.operators import semantics, tables
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from quire import session
+from quire.functions.text import tokens
+from quire.operators import chunks, retrieval, semantics, tables
+from quire.plans import q_retrieval
 from quire.plans.catalog import QUERIES
 from quire.plans.corpus_data import rows, spec
 from quire.session import table
@@ -58,3 +65,45 @@ def test_row_pipeline_repeats_no_steps(spark):
     """Each step reads the columns of the one before it, not their expressions."""
     plan = QUERIES["table_row_pipeline"](spark, DATA)._jdf.queryExecution().optimizedPlan()
     assert len(plan.toString()) < 30_000
+
+
+@pytest.mark.parametrize("name", ["hyphen_repair", "two_column_order", "line_metadata", "warning_order", "warning_policy", "candidate_prune"])
+def test_partitions_follow_the_files(spark, monkeypatch, name):
+    """Of larger tables a task holds no more: 116 kB of line items in parts of 10."""
+    monkeypatch.setattr(session, "TASK_BYTES", 10_000)
+    held = QUERIES[name](spark, DATA).select(F.spark_partition_id().alias("at")).distinct().count()
+    assert held > 8
+
+
+def test_parts_of_a_long_batch(spark, monkeypatch):
+    """Parts are made of a few texts at a time, whatever the Arrow batch."""
+    df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    runs, real, split = [], type(df).mapInArrow, chunks.split_text
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: runs.append(run) or real(self, run, schema))
+    chunks.split_chunks(df, "text", 20)
+    texts, seen = ["One two. " * (i % 9) for i in range(1000)], []
+    monkeypatch.setattr(chunks, "split_text", lambda t, n: seen.append(t) or split(t, n))
+    out = runs[0](iter([pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts)], ["doc_id", "text"])]))
+    first = next(out)
+    assert len(seen) == first.num_rows <= 200
+    parts = first.column(2).to_pylist() + [x for b in out for x in b.column(2).to_pylist()]
+    assert parts == [split(t, 20) for t in texts]
+
+
+def test_hits_are_counted_in_turns(spark, monkeypatch):
+    """Many short turns and one give the same best chunks."""
+    want = sorted(map(tuple, QUERIES["retrieve_topk"](spark, DATA).collect()))
+    runs, real = [], type(spark.range(1)).mapInArrow
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, run, schema: runs.append(run) or real(self, run, schema))
+    monkeypatch.setattr(retrieval, "HITS", 50)
+    QUERIES["retrieve_topk"](spark, DATA)
+    c = q_retrieval.chunks(spark, DATA).select("chunk_id", F.col("priority").cast("double").alias("priority"), tokens("text").alias("tok")).withColumn("n_tok", F.size("tok"))
+    got = []
+    for batch in runs[0](iter(c.toArrow().combine_chunks().to_batches())):
+        got += zip(*(batch.column(i).to_pylist() for i in range(3)))
+    rank = defaultdict(list)
+    for query, chunk, score in sorted(got, key=lambda x: (x[0], -x[2], x[1])):
+        rank[query].append((query, chunk, len(rank[query]) + 1, score))
+    got = sorted(x for xs in rank.values() for x in xs)
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(got, want))
