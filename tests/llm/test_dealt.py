@@ -98,6 +98,13 @@ def test_spotsigs(docs, none):
     assert spotsigs.edit_study(one).first()["near_next"] == 1.0
 
 
+def test_common_signatures_come_last():
+    """By their counts, not all common ones alike; those that no sample has first."""
+    known, counts = np.array([3, 7, 9]), np.array([50, 2, 900])
+    assert spotsigs.rare_first(np.array([1, 3, 7, 8, 9]), known, counts).tolist() == [1, 8, 7, 3, 9]
+    assert spotsigs.rare_first(np.array([2, 1]), known[:0], counts[:0]).tolist() == [1, 2]
+
+
 def test_spotsigs_pairs(spark):
     base = [prose(i, 60) for i in range(30)]
     base += [t + " omega the end of it" for t in base[:10]] + [base[0]]
